@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom.functions.scalar import rounded
 from tickloom.operators.asof import asof_join
 from tickloom.operators.filters import min_history
-from tickloom.operators.quantiles import exact_percentiles
+from tickloom.operators.quantiles import percentiles_below
 from tickloom.operators.series import CODE, DT, drawdown, fill
 
 
@@ -85,12 +85,10 @@ def mkt_cap_rank(bars: DataFrame, dt: str = DT) -> DataFrame:
     if has_rank:
         open_days = bars.groupBy(dt).agg(F.max(F.col("mkt_cap_rank").isNull()).alias("_open")).where("_open").select(dt)
         todo = bars.join(open_days, dt, "left_semi")
-    levels = exact_percentiles(todo, [dt], "mkt_cap", [q / 100 for q in range(100)], "_levels").drop("n")
-    joined = bars.join(levels, dt, "left")
-    fresh = F.size(F.filter("_levels", lambda p: p < F.col("mkt_cap"))) / F.lit(100.0)
-    fresh = F.when(F.col("_levels").isNotNull() & F.col("mkt_cap").isNotNull(), fresh)
+    below = percentiles_below(todo, [dt], "mkt_cap", 100, "_below")
+    fresh = F.col("_below") / F.lit(100.0)
     rank = F.coalesce(fresh, F.col("mkt_cap_rank")) if has_rank else fresh
-    return joined.withColumn("mkt_cap_rank", rank).drop("_levels")
+    return bars.join(below, [dt, "mkt_cap"], "left").withColumn("mkt_cap_rank", rank).drop("_below")
 
 
 def overlay_quotes(factors: DataFrame, quotes: DataFrame, key: str = CODE) -> DataFrame:

@@ -14,41 +14,78 @@ from pyspark.sql import DataFrame, Window, functions as F
 SPLITS = 32
 
 
-def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: Sequence[float], out: str = "percentiles") -> DataFrame:
-    """(by..., n, out): linear-interpolated percentiles of the non-NULL values, one array per group."""
-    by = list(by) or ["_all"]
-    if by == ["_all"]:
-        df = df.withColumn("_all", F.lit(0))
+def _ranked(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(distinct values with their split and running count inside it, totals per split)."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     steps = [i / SPLITS for i in range(1, SPLITS)]
     cuts = counts.groupBy(*by).agg(F.percentile_approx("_v", steps, 1_000).alias("_cuts"))
     split = counts.join(cuts, by).withColumn("_s", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-
-    totals = split.groupBy(*by, "_s").agg(F.sum("_c").alias("_t"))
-    below = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    totals = split.groupBy(*by, "_s").agg(F.sum("_c").alias("_t"), F.max("_v").alias("_top"))
+    order = Window.partitionBy(*by).orderBy("_s")
     bases = totals.select(
         *by,
         "_s",
-        F.coalesce(F.sum("_t").over(below), F.lit(0)).alias("_base"),
+        "_t",
+        F.coalesce(F.sum("_t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+        F.lag("_top").over(order).alias("_under"),
         F.sum("_t").over(Window.partitionBy(*by)).alias("n"),
     )
-    inside = Window.partitionBy(*by, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = split.withColumn("_local", F.sum("_c").over(inside)).join(bases, [*by, "_s"])
-    upto = F.col("_base") + F.col("_local")
-    ranked = ranked.select(*by, "n", "_v", (upto - F.col("_c")).alias("_from"), upto.alias("_to"))
+    inside = Window.partitionBy(*by, "_s").orderBy("_v")
+    local = split.withColumns(
+        {"_local": F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_previous": F.lag("_v").over(inside)}
+    )
+    return local, bases
 
-    def pick(prob: float, step: int):
-        rank = F.least(F.floor((F.col("n") - 1) * F.lit(float(prob))) + step, F.col("n") - 1)
-        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
 
-    picked = ranked.groupBy(*by, "n").agg(
-        *[pick(p, step).alias(f"_p{i}_{step}") for i, p in enumerate(probs) for step in (0, 1)]
+def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: Sequence[float], out: str = "percentiles") -> DataFrame:
+    """(by..., n, out): linear-interpolated percentiles of the non-NULL values, one array per group."""
+    local, bases = _ranked(df, by, value)
+    # ranks wanted from each split: the two neighbours of every percentile that fall into it
+    levels = F.array(*[F.lit(float(p)) for p in probs])
+    last = F.col("n") - 1
+    lower = F.transform(levels, lambda p: F.floor(last * p))
+    upper = F.transform(levels, lambda p: F.least(F.floor(last * p) + 1, last))
+    wanted = F.filter(
+        F.array_distinct(F.concat(lower, upper)), lambda k: (k >= F.col("_base")) & (k < F.col("_base") + F.col("_t"))
     )
+    bases = bases.withColumn("_wanted", wanted).drop("_t", "_under")
+    ranked = local.drop("_previous").join(bases, [*by, "_s"])
+    upto = F.col("_base") + F.col("_local")
+    covered = F.filter("_wanted", lambda k: (k >= upto - F.col("_c")) & (k < upto))
+    hits = ranked.select(*by, "n", F.col("_v").cast("double").alias("_v"), F.explode(covered).alias("_k"))
+
+    # at most two ranks per percentile and group
+    found = hits.groupBy(*by, "n").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_at"))
 
-    def interpolated(i: int, prob: float):
-        low, high = F.col(f"_p{i}_0").cast("double"), F.col(f"_p{i}_1").cast("double")
-        exact = (F.col("n") - 1) * F.lit(float(prob))
+    def interpolated(p):
+        exact = last * p
+        low = F.element_at("_at", F.floor(exact))
+        high = F.element_at("_at", F.least(F.floor(exact) + 1, last))
         return low + (high - low) * (exact - F.floor(exact))
 
-    result = picked.select(*by, "n", F.array(*[interpolated(i, p) for i, p in enumerate(probs)]).alias(out))
-    return result.drop("_all")
+    return found.select(*by, "n", F.transform(levels, interpolated).alias(out))
+
+
+def percentiles_below(df: DataFrame, by: list[str], value: str, steps: int = 100, out: str = "below") -> DataFrame:
+    """(by..., value, out): how many of the ``steps`` evenly spaced percentiles (0, 1/steps, ...) of the group lie
+    strictly below each distinct value.
+
+    Percentiles rise with their position, so this follows from the number of smaller values: a position below
+    it counts. Only the positions next to that number need to be interpolated, and no percentile is stored.
+    """
+    local, bases = _ranked(df, by, value)
+    ranked = local.join(bases.drop("_t"), [*by, "_s"])
+    smaller = F.col("_base") + F.col("_local") - F.col("_c")
+    previous = F.coalesce("_previous", "_under")
+    last = F.col("n") - 1
+
+    def counts(i):
+        place = last * (i / F.lit(float(steps)))
+        low = F.floor(place)
+        between = previous + (F.col("_v") - previous) * (place - low)
+        return F.when((i < 0) | (low < smaller - 1), 1).when(low >= smaller, 0).otherwise((between < F.col("_v")).cast("int"))
+
+    guess = F.coalesce(F.floor(F.try_divide(smaller * F.lit(float(steps)), last)), F.lit(0))
+    total = guess - 1 + counts(guess - 1) + counts(guess) + counts(guess + 1)
+    bounded = F.when(smaller == 0, 0).otherwise(F.least(F.lit(steps), total)).cast("int")
+    return ranked.select(*by, F.col("_v").alias(value), bounded.alias(out))
