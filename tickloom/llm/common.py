@@ -95,17 +95,13 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         return out.where("a <> b").distinct()
 
     now = stored(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
-    mark = _mark(now)
-    while mark[0]:
-        now = stored(star(now, True), tag)
-        now = stored(star(now, False), tag)
-        if (new := _mark(now)) == mark:
-            break
-        mark = new
+    while not _is_forest(now):
+        now = stored(star(stored(star(now, True), tag), False), tag)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _mark(pairs: DataFrame) -> tuple:
-    """Number of edges and an order-free digest of them: equal before and after a round when nothing moved."""
-    h = F.xxhash64("a", "b")
-    return tuple(pairs.agg(F.count("*"), F.bit_xor(h), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))).first())
+def _is_forest(pairs: DataFrame) -> bool:
+    """Whether each node points to one root, that is, to a node that points nowhere."""
+    a, n = pairs.select("a"), F.count("*")
+    roles = a.withColumn("root", F.lit(False)).unionByName(pairs.select(F.col("b").alias("a"), F.lit(True).alias("root")).distinct())
+    return roles.groupBy("a").agg(n.alias("n")).where("n > 1").isEmpty()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, exact_dedup, mixing
+from tickloom.llm import bpe, exact_dedup, jaccard_join, mixing
 from tickloom.llm.common import table
 from tickloom.llm.registry import QUERIES, SQL, query
 
@@ -64,3 +64,8 @@ def digests(docs: DataFrame, own) -> DataFrame:
 @query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), own_bpe(spark))
+
+
+@query("op6_ngram_jaccard_join")
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), jaccard_join.Join(words=3, num=9, den=10))
