@@ -52,16 +52,18 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     ``groups`` has one row per ``key`` with its number of rows in ``size``; store it first, it is read three times.
     Groups above ``HOT_SHARE`` of all rows number at most 1 / HOT_SHARE, a bound that holds for any data, so their
     table is broadcast and their rows are dealt by a salt; the others are small and meet in an ordinary shuffle join.
-    Rows without a group are dropped. Every row is read and shuffled once.
+    Rows without a group are dropped. Every row is read and shuffled once, at every size.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
     is_hot = F.col(size) > max(1, int(total * HOT_SHARE))
     got = [c for c in groups.columns if c != key]
     hot = groups.where(is_hot).select(key, F.struct(*got).alias("_hot"))
-    cold = groups.where(~is_hot).select(key, F.lit(0).alias("_salt"), F.struct(*got).alias("_cold"))
+    # always 0, but no constant: as one, it would leave the join's keys, and hot rows would meet in one task again
+    zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+    cold = groups.where(~is_hot).select(key, zero.alias("_salt"), F.struct(*got).alias("_cold"))
     salted = rows.join(F.broadcast(hot), key, "left") \
         .withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(9973)).cast("int")))
-    met = salted.join(cold, [key, "_salt"], "left").withColumn("_got", F.coalesce("_hot", "_cold")).where("_got IS NOT NULL")
+    met = salted.join(cold.hint("merge"), [key, "_salt"], "left").withColumn("_got", F.coalesce("_hot", "_cold")).where("_got IS NOT NULL")
     return met.select(*rows.columns, *(F.col(f"_got.{c}").alias(c) for c in got))
 
 
