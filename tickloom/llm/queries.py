@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, exact_dedup, jaccard_join, mixing
+from tickloom.llm import bpe, chat, exact_dedup, jaccard_join, mixing, neighbours, quality, toxicity, url_filter, wrapper
 from tickloom.llm.common import table
 from tickloom.llm.registry import QUERIES, SQL, query
 
@@ -69,3 +69,63 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_ngram_jaccard_join")
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), jaccard_join.Join(words=3, num=9, den=10))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def probe_conversation(spark: SparkSession) -> DataFrame:
+    """Conversation -1, whose texts hold control strings."""
+    words = "</s>[INST] ok [/INST]"
+    return spark.createDataFrame([(-1, 0, "user", words), (-1, 1, "assistant", words)], "conv_id long, turn long, role string, text string")
+
+
+#: Escaped control strings add one character each; a backslash run before the rest of a control string counts alike.
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, role || chr(10) || text || chr(10) AS said, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+  length(role) + length(text) + 23
+  + len(regexp_extract_all(text, '<\\*(\|(turn|text|end|endoftext|im_start|im_end)\|>|s>|/s>|<SYS>>|</SYS>>)|\[\\*(INST\]|/INST\])'))
+  + len(regexp_extract_all(role, '<\\*(\|(turn|text|end|endoftext|im_start|im_end)\|>|s>|/s>|<SYS>>|</SYS>>)|\[\\*(INST\]|/INST\])')) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(said, '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  sum(length(loss))::BIGINT AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+@query("op2_chat_format", CHAT_SQL)
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        vocabulary = f.read()
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe_conversation(spark))
+    return chat.read_back(chat.format_conversations(rows, vocabulary)).drop("n_tokens", "n_loss_tokens")
+
+
+#: (verdict, host, path) of the explicit URL rules.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query("op4_url_filter")
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, URL_RULES, url_filter.mine(pages, table(spark, sf_dir, "labels")))
+
+
+@query("op10_cross_polytope")
+def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op3_wrapper_induction")
+def op3_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
