@@ -7,9 +7,9 @@ differ in at most a * (1 - t) / t shingles, so with more bands than that they ag
 lost. (A directory of boxes over all coordinates prunes almost nothing: see the README.) Pairs from a leaf whose
 bound reaches the threshold are verified on the shingle sets themselves.
 
-A large leaf is not paired out. Its members are first verified against its smallest one; what these links join into
-one component needs no further check. Only members that still lie in different components are then paired, and only
-if their points allow it.
+A large leaf is not paired out. Its members are first verified against the one that meets most others; what these
+links join into one component needs no further check. Only members that still lie in different components are then
+compared, by their points, block against block; pairs become rows only if their bound reaches the threshold.
 
 Sets that are equal form a class, so copies cost one row each. A document of fewer words than a shingle has its whole
 sequence as its one shingle; without words (or with a null text) it has none and links with nothing. Rows that repeat
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import attach, components, stored
 
-GROUPS = 64
+GROUPS = 128
+#: Members of a leaf compared in one block.
+BLOCK = 512
 #: Members verified in one stream against one copy of their centre.
 PER_CENTRE = 256
 
@@ -244,25 +246,79 @@ def link_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     leaves = rows.select("node", F.explode("leaves").alias("leaf"))
     leaf = Window.partitionBy("leaf")
     shared = stored(leaves.withColumns({"least": F.min("node").over(leaf), "most": F.max("node").over(leaf)})
-                    .where("least <> most").select("leaf", "node", "least").distinct(), "leaves")
-    points = rows.select("node", "n_shingles", "point").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+                    .where("least <> most").select("leaf", "node").distinct(), "leaves")
+    weights = shared.groupBy("node").agg(F.count("*").alias("met"))
+    points = rows.select("node", "n_shingles", "point").dropDuplicates(["node"]).join(weights, "node").select("node", "n_shingles", "point", "met")
     points = stored(points, "points")
 
-    stars = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    first = stored(verified(docs, _bounded(stars, points, join).toDF("centre", "member"), nodes, join), "links")
+    # the member that meets most others is the likeliest to be linked with many
+    best = F.max(F.struct("met", "node")).over(leaf)["node"]
+    stars = attach(shared, points.select("node", "met", F.col("met").alias("uses")), "node", "uses").withColumn("centre", best).select("leaf", "node", "centre")
+    stars = stored(stars, "stars")
+    pairs = stars.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    first = stored(verified(docs, _bounded(pairs, points, join).toDF("centre", "member"), nodes, join), "links")
     done = stored(components(first), "done")
 
-    # leaves whose members are not all joined yet: pair the members that lie apart
-    named = shared.join(done, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = named.groupBy("leaf").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y AND n > 2").select("leaf")
-    open_ = stored(named.join(apart, "leaf", "left_semi").select("leaf", "node", "least", "component"), "open")
+    # leaves whose members are not all joined yet: compare the members that lie apart
+    named = stars.join(done, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = named.groupBy("leaf").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y AND members > 2")
+    open_ = stored(named.join(apart.select("leaf", "members"), "leaf"), "open")
     if open_.isEmpty():
         return all_docs, done
-    left = open_.select("leaf", "least", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = open_.select("leaf", F.col("node").alias("b"), F.col("component").alias("cb"))
-    more = left.join(right, "leaf").where("a < b AND ca <> cb AND a <> least AND b <> least").select("a", "b").distinct()
-    second = verified(docs, _bounded(more, points, join).toDF("centre", "member"), nodes, join)
-    return all_docs, components(first.unionByName(stored(second, "links")))
+    second = verified(docs, stored(_apart(open_, points, join), "apart").toDF("centre", "member"), nodes, join)
+    second = stored(second, "links")
+    return all_docs, done if second.isEmpty() else components(first.unionByName(second))
+
+
+def _apart(open_: DataFrame, points: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) of a leaf's members in different components whose points leave the threshold in reach.
+
+    A leaf is dealt in blocks of BLOCK members; each pair of blocks is one stream's work, its second block read
+    against the first, so a task holds one block whatever the leaf's size and only pairs in reach become rows.
+    """
+    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = attach(open_, points.withColumnRenamed("met", "uses"), "node", "uses").withColumn("blocks", blocks).withColumn("at", at)
+    # a member waits in the pairs (at, j) with j >= at, and passes by those that wait in the pairs (i, at) with i <= at
+    waits = rows.select("*", F.explode(F.sequence(F.col("at"), F.col("blocks") - 1)).alias("j")).select("leaf", F.col("at").alias("i"), "j", F.lit(0).alias("passes"), "node", "component", "centre", "n_shingles", "point")
+    passes = rows.select("*", F.explode(F.sequence(F.lit(0), "at")).alias("i")).select("leaf", "i", F.col("at").alias("j"), F.lit(1).alias("passes"), "node", "component", "centre", "n_shingles", "point")
+    dealt = waits.unionByName(passes).repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "passes")
+
+    def run(batches):
+        key, ids, comps, sizes, held = None, [], [], [], []
+        seen: set[tuple[int, int]] = set()
+        for t in batches:
+            left, right = [], []
+            head = [t.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5, 6, 7)]
+            for row, (leaf, i, j, passing, node, comp, centre, n) in enumerate(zip(*head)):
+                p = np.frombuffer(t.column(8)[row].as_buffer(), "<i4")
+                if (leaf, i, j) != key:
+                    key, ids, comps, sizes, held = (leaf, i, j), [], [], [], []
+                if not passing:
+                    ids.append(node)
+                    comps.append(comp)
+                    sizes.append(n)
+                    held.append(p)
+                    continue
+                if isinstance(held, list):
+                    if not held:
+                        continue
+                    ids, comps, sizes, held = np.array(ids), np.array(comps), np.array(sizes), np.stack(held)
+                look = np.flatnonzero((comps != comp) & (ids != centre) & ((ids < node) if i == j else True))
+                if node == centre or not len(look):
+                    continue
+                most = np.minimum(held[look], p).sum(axis=1, dtype=np.int64)
+                for other in ids[look[join.den * most >= join.num * (sizes[look] + n - most)]].tolist():
+                    pair = (max(node, other), min(node, other))
+                    if pair not in seen:
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                        seen.add(pair)
+                        left.append(pair[0])
+                        right.append(pair[1])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
