@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import gather
+from tickloom.llm.common import gather, slices
 
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 #: Pre-tokens handled together; bounds a task's memory.
 TOKENS_AT_ONCE = 1_000_000
-CACHE = 200_000
+CACHE = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -192,7 +192,7 @@ def _map(df: DataFrame, column: str, into: str, work, bpe) -> DataFrame:
     rest = [c for c in df.columns if c != into]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, column):
             cols = [batch.column(batch.schema.get_field_index(c)) for c in rest]
             made = work(bpe.value, batch.column(batch.schema.get_field_index(column)).to_pylist())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(made, type=pa.binary())], names=[*rest, into])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,20 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     return met.select(*rows.columns, *(F.col(f"_got.{c}").alias(c) for c in got))
 
 
+def slices(batches, column: int | str, limit: int = 4 << 20):
+    """Arrow batches cut where the texts of ``column`` exceed ``limit`` bytes, so a task's memory follows that, not the
+    number of rows a batch happens to hold. A single longer text is a batch of its own."""
+    for batch in batches:
+        at = batch.schema.get_field_index(column) if isinstance(column, str) else column
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def gather(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices of the concatenated runs [start, start + len)."""
     ends = np.cumsum(lens)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WHITE_BYTES, attach, stored
+from tickloom.llm.common import WHITE_BYTES, attach, slices, stored
 
 #: Largest prime below 2^128.
 PRIME = 2**128 - 159
@@ -56,7 +56,7 @@ def prints(docs: DataFrame, rest: tuple[str, ...] = ("doc_id",), keep_text: bool
     df = docs.select(*rest, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, "text"):
             cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             fps, shas, sizes = [], [], []
             for t in cols["text"].cast(pa.binary()):
@@ -90,7 +90,7 @@ def _differing(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
     def run(batches):
         key, pivot = None, b""
-        for b in batches:
+        for b in slices(batches, 2):
             fps, sha = [], []
             for f, p, t, s in zip(*(b.column(i) for i in range(4))):
                 f, p, t = f.as_py(), p.as_py(), _norm(t.cast(pa.binary()).as_py())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import attach, components, stored
+from tickloom.llm.common import attach, components, slices, stored
 
 GROUPS = 128
 #: Members of a leaf compared in one block.
@@ -163,7 +163,7 @@ def sketches(docs: DataFrame, join: Join) -> DataFrame:
             seen.add(node)
             return leaf_keys(s, leaves)
 
-        for b in batches:
+        for b in slices(batches, 1):
             sets = shingle_sets(b.column(1).cast(pa.binary()).to_pylist(), join.words)
             full = [len(s) > 0 for s in sets]
             nodes = [_node(_digest(s)) if f else None for s, f in zip(sets, full)]
@@ -222,7 +222,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) ->
 
     def run(batches):
         key, centre = None, np.empty(0, dtype=np.uint64)
-        for t in batches:
+        for t in slices(batches, 5):
             found = []
             sets = shingle_sets(t.column(5).cast(pa.binary()).to_pylist(), join.words)
             for c, p, after, node, digest, s in zip(*(t.column(i).to_pylist() for i in range(5)), sets):

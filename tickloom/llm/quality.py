@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import held_out
+from tickloom.llm.common import held_out, slices
 
 #: Labelled rows the model is fitted on, at most; the first by a hash of the id.
 TRAIN_ROWS = 6000
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality"):
         .groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 0):
             starts, ids, x = features(b.column(0).cast(pa.binary()).to_pylist())
             rows = [(ids[a:z].astype("<i4").tobytes(), x[a:z].astype("<f4").tobytes()) for a, z in zip(starts[:-1], starts[1:])]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *(pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1))], names=["doc_id", "y", "ids", "x"])
@@ -147,7 +147,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             scores = model.value.score(*features(b.column(1).cast(pa.binary()).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 

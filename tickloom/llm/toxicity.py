@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import held_out, stored
+from tickloom.llm.common import held_out, slices, stored
 
 #: Labelled rows the lexicon is learnt from, at most; the first by a hash of the id.
 TRAIN_ROWS = 20_000
@@ -68,10 +68,10 @@ def letter_counts(docs: DataFrame) -> DataFrame:
     """(code, n): trigrams of the letters of all words of all texts; code = (first * SIZE + second) * SIZE + third."""
     def run(batches):
         words, grams = Counter(), Counter()
-        for b in batches:
+        for b in slices(batches, 0):
             for t in b.column(0).to_pylist():
                 words.update((t or "").lower().split())
-                if len(words) > 300_000:
+                if len(words) > 200_000:
                     _trigrams(words, grams)
                     words.clear()
         _trigrams(words, grams)
@@ -176,7 +176,7 @@ class Restorer:
                     if (r := _RUNS.sub(r"\1", self.decode(form))) in self.plain:
                         got = (self.plain[r],)
                         break
-            if len(self.cache) > 500_000:
+            if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[token] = got
         return got
@@ -200,7 +200,7 @@ def _training_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 0):
             lists = [(x or "").lower().split() for x in b.column(0).to_pylist()]
             words = [sorted({w for t in set(x) if (w := core(t)) and not suspicious(w)}) for x in lists]
             family = [min((zlib.crc32(" ".join(x[i : i + 4]).encode()) for i in range(max(1, len(x) - 3))), default=0) for x in lists]
@@ -248,7 +248,7 @@ def with_score(docs: DataFrame, model, into: str = "score") -> DataFrame:
 
     def run(batches):
         restorer, p0 = model.value
-        for b in batches:
+        for b in slices(batches, "text"):
             scores = []
             for t in b.column(b.schema.get_field_index("text")).to_pylist():
                 miss = 1 - p0

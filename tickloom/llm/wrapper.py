@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import attach, stored
+from tickloom.llm.common import attach, slices, stored
 from tickloom.llm.url_filter import host_of
 
 #: Aligned pages that a template slot needs, and the share of them that must agree.
@@ -296,7 +296,7 @@ _SKELETON = "array<struct<depth:int,sign:string,text:long>>"
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, reference, template): per host with a template, its reference skeleton and the template's slots."""
     def skeletons(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             made = [[{"depth": d, "sign": s, "text": t} for d, s, t in fold(root)] if not _articles(root := parse(p)) else None for p in b.column(1).to_pylist()]
             kind = pa.list_(pa.struct([("depth", pa.int32()), ("sign", pa.string()), ("text", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, kind)], names=["host", "skeleton"])
@@ -338,7 +338,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         met = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             texts = []
             for page, r, t in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
                 texts.append(extract(page, [(x["depth"], x["sign"], x["text"]) for x in r] if r else None, set(t) if t else None))
