@@ -175,27 +175,46 @@ class Bpe:
         return self.bytes[gather(self.starts[ids], self.lens[ids])].tobytes()
 
 
+def _encoded(own: Bpe, values) -> list[bytes]:
+    return [x.astype("<u4").tobytes() for x in own.encode([v or "" for v in values])]
+
+
+def _decoded(own: Bpe, values) -> list[bytes]:
+    return [own.decode(np.frombuffer(v or b"", dtype="<u4")) for v in values]
+
+
 def encode(df: DataFrame, bpe, text: str = "text", into: str = "ids") -> DataFrame:
     """``df`` with the binary column ``into``: the ids of ``text`` as little-endian unsigned 32-bit integers.
 
     ``bpe`` is a broadcast ``Bpe``. A column of ``df`` named like ``into`` is replaced.
     """
-    return _map(df, text, into, lambda own, values: [x.astype("<u4").tobytes() for x in own.encode([v or "" for v in values])], bpe)
+    return _map(df, text, {into: _encoded}, bpe)
 
 
 def decode(df: DataFrame, bpe, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``df`` with the binary column ``into``: the bytes that ``ids`` stand for."""
-    return _map(df, ids, into, lambda own, values: [own.decode(np.frombuffer(v or b"", dtype="<u4")) for v in values], bpe)
+    return _map(df, ids, {into: _decoded}, bpe)
 
 
-def _map(df: DataFrame, column: str, into: str, work, bpe) -> DataFrame:
-    rest = [c for c in df.columns if c != into]
+def round_trip(df: DataFrame, bpe, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass, so that a task needs one Python worker, not two."""
+    return _map(df, text, {ids: _encoded, decoded: _decoded}, bpe)
+
+
+def _map(df: DataFrame, column: str, steps: dict, bpe) -> DataFrame:
+    """``df`` with a binary column for each of ``steps``, each made of the one before, the first of ``column``."""
+    rest = [c for c in df.columns if c not in steps]
+    given = df.select(*rest, *([] if column in rest else [column]))
 
     def run(batches):
         for batch in slices(batches, column):
+            own = bpe.value
             cols = [batch.column(batch.schema.get_field_index(c)) for c in rest]
-            made = work(bpe.value, batch.column(batch.schema.get_field_index(column)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(made, type=pa.binary())], names=[*rest, into])
-
-    schema = df.select(*rest).withColumn(into, F.lit(b"")).schema
-    return df.mapInArrow(run, schema)
+            values = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            for step in steps.values():
+                values = step(own, values)
+                cols.append(pa.array(values, type=pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=[*rest, *steps])
+
+    schema = df.select(*rest).withColumns({c: F.lit(b"") for c in steps}).schema
+    return given.mapInArrow(run, schema)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +72,15 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     return met.select(*rows.columns, *(F.col(f"_got.{c}").alias(c) for c in got))
 
 
-def slices(batches, column: int | str, limit: int = 4 << 20):
+def _release() -> None:
+    """Give freed memory back: Python workers outlive their task, and the next stage's stand beside them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches, column: int | str, limit: int = 1 << 20):
     """Arrow batches cut where the texts of ``column`` exceed ``limit`` bytes, so a task's memory follows that, not the
     number of rows a batch happens to hold. A single longer text is a batch of its own."""
     for batch in batches:
@@ -80,6 +92,7 @@ def slices(batches, column: int | str, limit: int = 4 << 20):
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    _release()
 
 
 def gather(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

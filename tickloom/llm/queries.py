@@ -56,7 +56,7 @@ def own_bpe(spark: SparkSession, path: str | None = None):
 
 
 def digests(docs: DataFrame, own) -> DataFrame:
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "text"), own).select("doc_id", "ids"), own)
+    done = bpe.round_trip(docs.select("doc_id", "text"), own)
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
