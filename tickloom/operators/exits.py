@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickloom.functions import codes, rules, scalar as S
 from tickloom.operators.asof import asof_join
 from tickloom.operators.series import CODE, DT, POS, with_positions
-from tickloom.session import cut_lineage
+from tickloom.session import cut_lineage, stored
 
 FANOUT = 128
 LEVELS = 3
@@ -111,11 +111,14 @@ def entry_exit(
     sl = stop_loss if isinstance(stop_loss, Column) else F.lit(float(stop_loss))
     tp = take_profit if isinstance(take_profit, Column) else F.lit(float(take_profit))
     closing = F.lit(False) if close is None else (F.expr(close) if isinstance(close, str) else close)
-    numbered = with_positions(bars, unit=unit).withColumn("close_signal", closing)
+    numbered = stored(with_positions(bars, unit=unit).withColumn("close_signal", closing), "bars")
 
-    entries = signals.withColumns({"_sl": sl, "_tp": tp})
+    # equal signals take one search together and come apart again at the end
+    entries = signals.drop(POS)
+    entries = entries.groupBy(*entries.columns).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    entries = entries.withColumns({"_sl": sl, "_tp": tp})
     places = numbered.select(CODE, DT, POS)
-    entries = entries.drop(POS).join(places, [CODE, DT])
+    entries = stored(entries.join(places, [CODE, DT]), "entries")
     match = (
         (S.pct_chg("order_price", F.col("_low")) <= -F.col("_sl"))
         | (S.pct_chg("order_price", F.col("_high")) >= F.col("_tp"))
@@ -152,7 +155,8 @@ def entry_exit(
     resolved = joined.withColumns({"_stop": stop, "_take": take}).withColumn("action", action).withColumn("exit_price", price)
     keep = [c for c in signals.columns if c != POS]
     extra = ["exit_orig_open"] if "orig_open" in bars.columns else []
-    return resolved.select(*keep, "exit_dt", "exit_price", "action", *extra)
+    each = resolved.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    return each.select(*keep, "exit_dt", "exit_price", "action", *extra)
 
 
 def without_overlap(trades: DataFrame, keys: tuple[str, ...] = (CODE,)) -> DataFrame:

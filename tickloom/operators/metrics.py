@@ -113,8 +113,10 @@ def trade_metrics(trades: DataFrame, by: str = RUN, include_open: bool = True) -
 
 
 def evaluate(trades: DataFrame, capitals: DataFrame, by: str = RUN, include_open: bool = True) -> DataFrame:
-    """One record of all metrics per run."""
-    return capital_metrics(capitals, by).join(trade_metrics(trades, by, include_open), by, "left")
+    """One record of all metrics per run; a run without trades counts none."""
+    found = trade_metrics(trades, by, include_open)
+    counts = [c for c in found.columns if c.startswith("number_of_")]
+    return capital_metrics(capitals, by).join(found, by, "left").fillna(0, counts)
 
 
 def metrics_by_params(runs: DataFrame, params: Sequence[str], metrics: Sequence[str] = CORE_METRICS) -> DataFrame:

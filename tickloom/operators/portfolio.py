@@ -180,17 +180,19 @@ def equity_curve(
     minimum: float = 5.0,
     stamp_pct: float = 0.1,
     by: tuple[str, ...] = (),
+    runs: DataFrame | None = None,
 ) -> DataFrame:
     """Capital log per day (and run): free cash after all flows so far plus holdings at the last known close.
 
-    ``trades`` holds (by..., code, dt, order_price, vol, exit_dt, exit_price). The running sum is over one row
+    ``trades`` holds (by..., code, dt, order_price, vol, exit_dt, exit_price); ``runs`` lists the runs to log, also those
+    that never trade, by default those of the trades. The running sum is over one row
     per day.
     """
     flows = cash_flows(trades, rate_pct, minimum, stamp_pct, by)
     marks = holding_values(trades, bars, calendar, by)
     if by:
         # every run logs every trade day: unroll the day numbers, then look the days up
-        runs = trades.select(*by).distinct().join(F.broadcast(calendar.agg(F.max("idx").alias("_end"))))
+        runs = (trades if runs is None else runs).select(*by).distinct().join(F.broadcast(calendar.agg(F.max("idx").alias("_end"))))
         days = runs.select(*by, F.explode(F.sequence(F.lit(1).cast("bigint"), "_end")).alias("idx")).join(calendar, "idx").drop("idx")
     else:
         days = calendar.select("dt")

@@ -12,6 +12,7 @@ from tickloom.operators import exits, filters, metrics, portfolio
 from tickloom.operators.adjust import adjust_prices
 from tickloom.operators.factors import BUILTIN, FactorBook, notna_columns, with_factors
 from tickloom.operators.series import CODE, DT
+from tickloom.session import stored
 
 Hook = Callable[[DataFrame], DataFrame]
 Evaluator = Callable[[DataFrame, DataFrame], DataFrame]
@@ -84,10 +85,11 @@ class Strategy:
         """Universe → adjusted prices → codes with impossible moves dropped → factors → rows complete."""
         rows = self.pre_process(bars) if self.pre_process else bars
         if adjust is not None and "orig_open" not in rows.columns:
-            rows = filters.drop_suspect_codes(adjust_prices(rows, adjust, unit=self.unit), max_abs_pct)
+            # read twice by the next step, so stored once
+            rows = filters.drop_suspect_codes(stored(adjust_prices(rows, adjust, unit=self.unit), "adjusted"), max_abs_pct)
         rows = with_factors(rows, self.factors, self.book, unit=self.unit, keep_pos=True)
         rows = filters.drop_incomplete(rows, notna_columns(self.factors, self.book))
-        return self.post_process(rows) if self.post_process else rows
+        return stored(self.post_process(rows) if self.post_process else rows, "factors")
 
     def signals(self, table: DataFrame, held: DataFrame | None = None, blacklist: DataFrame | None = None) -> DataFrame:
         p = self.params
@@ -96,12 +98,12 @@ class Strategy:
     def closing(self) -> Column:
         return F.lit(False) if self.should_sell is None else self.should_sell(self.params)
 
-    def trades(self, table: DataFrame, signals: DataFrame, seed: int = 0) -> DataFrame:
+    def trades(self, table: DataFrame, signals: DataFrame, seed: int = 0, run_keys: tuple[str, ...] = ()) -> DataFrame:
         """One row per signal with its exit; exits at a level are worsened by the slip."""
         found = exits.entry_exit(
-            signals, table, self.stop_loss, self.take_profit, self.sl_tf_order, close=self.closing(), seed=seed, unit=self.unit
+            signals, table, self.stop_loss, self.take_profit, self.sl_tf_order, close=self.closing(), seed=seed, unit=self.unit, run_keys=run_keys
         )
-        return with_slippage(found, self.stop_loss_slip, self.take_profit_slip, seed)
+        return with_slippage(found, self.stop_loss_slip, self.take_profit_slip, seed, run_keys)
 
     def backtest(
         self,
@@ -113,33 +115,39 @@ class Strategy:
         seed: int = 0,
         blacklist: DataFrame | None = None,
         overlap: bool = False,
+        budgets: DataFrame | None = None,
     ) -> dict[str, DataFrame]:
-        """Signals → at most ``max_position_opens`` a day → exits → sizes → trade log and capital log.
+        """Signals → at most ``max_position_opens`` a day → sizes → exits → no overlap → trade log and capital log.
 
-        Every day spends the same budget: the initial cash split over the open slots. Days do not share one cash
-        account, which would make the whole history one sequential task.
+        ``budgets`` gives (dt, budget, total_assets). By default the days with signals share the cash, less the fees
+        of spending it, in equal parts: entries can't overspend, whenever they close. Days do not share one running
+        account, which would make the whole history one sequential task. Options that get no lot are dropped before
+        overlaps are removed, so they block no later entry.
         """
-        picked = portfolio.weighted_pick(self.signals(table, blacklist=blacklist), self.max_position_opens, seed=seed)
-        found = self.trades(table, picked, seed)
-        kept = found if overlap else exits.without_overlap(found)
-        sized = self.size(kept, cash, lot, seed)
+        entries = stored(self.signals(table, blacklist=blacklist), "signals")
+        sized = self.size(entries, cash, lot, seed, fees, budgets)
+        found = stored(self.trades(table, sized, seed), "trades")
+        sized = found if overlap else stored(exits.without_overlap(found), "kept")
         curve = portfolio.equity_curve(
             sized, table, calendar, cash, fees.commission_pct, fees.min_commission, fees.stamp_duty_pct
         )
         return {"trades": sized, "log": portfolio.trade_log(sized), "capitals": curve}
 
-    def size(self, signals: DataFrame, cash: float, lot: int, seed: int = 0) -> DataFrame:
-        days = signals.select(DT).distinct()
-        budgets = days.select(DT, F.lit(float(cash)).alias("budget"), F.lit(float(cash)).alias("total_assets"))
+    def size(self, signals: DataFrame, cash: float, lot: int, seed: int = 0, fees: Fees = Fees(), budgets: DataFrame | None = None) -> DataFrame:
+        if budgets is None:
+            days = signals.select(DT).distinct()
+            spent = max(0.0, cash / (1 + fees.commission_pct / 100))
+            share = F.greatest(F.lit(0.0), F.lit(spent) / F.lit(max(1, days.count())) - F.lit(float(fees.min_commission)))
+            budgets = days.select(DT, share.alias("budget"), F.lit(float(cash)).alias("total_assets"))
         capped = portfolio.cap_portfolio(signals, budgets, self.max_position_opens, self.max_position_size, seed)
         sized = portfolio.allocate_budget(capped, self.max_position_opens, self.min_trade_amount, lot, seed=seed)
         return sized.drop("budget", "lots")
 
 
-def with_slippage(trades: DataFrame, stop: Slip, take: Slip, seed: int = 0) -> DataFrame:
-    """Worsen stop-loss and take-profit prices; closing at the close has no slip."""
+def with_slippage(trades: DataFrame, stop: Slip, take: Slip, seed: int = 0, run_keys: tuple[str, ...] = ()) -> DataFrame:
+    """Worsen stop-loss and take-profit prices; closing at the close has no slip. Runs draw apart by ``run_keys``."""
     orig = "exit_orig_open" if "exit_orig_open" in trades.columns else "exit_price"
-    u = S.uniform(CODE, DT, "exit_dt", seed=seed)
+    u = S.uniform(CODE, DT, "exit_dt", *run_keys, seed=seed)
     slipped = lambda s: S.slippage("exit_price", s.method, s.params, orig, u)
     price = (
         F.when(F.col("action") == C.STOP_LOSS, slipped(stop))

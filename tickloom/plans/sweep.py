@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.operators.series import CODE, DT
 
-#: A grid travels as an array literal in the plan; a larger search should be split into batches.
-MAX_RUNS = 20_000
 Axis = tuple[str | Sequence[str], Sequence]
 
 
@@ -32,14 +30,12 @@ def runs_of(sets: Sequence[dict[str, float]], repetitions: int = 1) -> list[dict
     for rep in range(1, repetitions + 1):
         for i, params in enumerate(sets, 1):
             runs.append({"run_id": f"{rep}-{i}", "batch_id": f"{rep}-1", "repetition": rep, **params})
-    if len(runs) > MAX_RUNS:
-        raise ValueError(f"{len(runs)} runs in one grid; split it into batches of {MAX_RUNS}")
     return runs
 
 
 def param_grid(axes: Sequence[DataFrame]) -> DataFrame:
     """Grid of axes held as small DataFrames (distinct rows of each): every axis is packed into one array and
-    unrolled, so no join is involved. The product of their sizes must stay within ``MAX_RUNS``."""
+    unrolled, so no join is involved. The product of their sizes is the number of rows."""
     packed = [_packed(a) for a in axes]
     numbered = [p.select(F.lit(i).alias("_i"), F.to_json("_rows").alias("_j")) for i, p in enumerate(packed)]
     one = reduce(DataFrame.unionByName, numbered).groupBy().pivot("_i", list(range(len(axes)))).agg(F.first("_j"))
@@ -50,11 +46,8 @@ def param_grid(axes: Sequence[DataFrame]) -> DataFrame:
 
 
 def _packed(axis: DataFrame) -> DataFrame:
-    """One row with the axis as an array. ``limit`` keeps one row more than allowed, so an axis that is too long
-    fails the job instead of filling a task."""
-    rows = axis.distinct().limit(MAX_RUNS + 1).agg(F.sort_array(F.collect_list(F.struct(*axis.columns))).alias("_rows"))
-    too_long = F.raise_error(F.lit(f"an axis has more than {MAX_RUNS} choices"))
-    return rows.select(F.when(F.size("_rows") <= MAX_RUNS, F.col("_rows")).otherwise(too_long).alias("_rows"))
+    """One row with the axis as an array; an axis is a list of choices, not a table of data."""
+    return axis.distinct().agg(F.sort_array(F.collect_list(F.struct(*axis.columns))).alias("_rows"))
 
 
 def grid_frame(spark: SparkSession, runs: Sequence[dict]) -> DataFrame:

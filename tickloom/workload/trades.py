@@ -377,9 +377,9 @@ def _sweep(v: Views) -> DataFrame:
     "sweep",
     with_views("bars", body=SIGNAL_SQL + GRID + f""", hh AS (SELECT s.run_id, s.code, s.dt, s.order_price, b.dt AS exit_dt, {stop_sql('s.order_price', 's.stop_loss', 'b.open', 'b.low')} AS st,
   {take_sql('s.order_price', 's.take_profit', 'b.open', 'b.high')} AS tk FROM ss s JOIN fx b ON b.code=s.code AND b.dt>s.dt),
-f AS (SELECT * FROM hh WHERE st IS NOT NULL OR tk IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id, code, dt ORDER BY exit_dt)=1)
-SELECT ss.run_id, any_value(ss.min_vol) AS min_vol, any_value(ss.dip) AS dip, count(*) AS n_signals, count(f.exit_dt) AS n_closed, count(st) AS n_stopped,
-  {r(f"avg({r('1e2*(coalesce(st,tk)-f.order_price)/f.order_price')})", 6)} AS avg_pct FROM ss LEFT JOIN f USING (run_id, code, dt) GROUP BY ss.run_id"""),
+first_hits AS (SELECT * FROM hh WHERE st IS NOT NULL OR tk IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id, code, dt ORDER BY exit_dt)=1)
+SELECT ss.run_id, any_value(ss.min_vol) AS min_vol, any_value(ss.dip) AS dip, count(*) AS n_signals, count(h.exit_dt) AS n_closed, count(st) AS n_stopped,
+  {r(f"avg({r('1e2*(coalesce(st,tk)-h.order_price)/h.order_price')})", 6)} AS avg_pct FROM ss LEFT JOIN first_hits h USING (run_id, code, dt) GROUP BY ss.run_id"""),
 )
 def _sweep_eval(v: Views) -> DataFrame:
     def evaluate(signals: DataFrame, table: DataFrame) -> DataFrame:
@@ -429,48 +429,40 @@ def _explode_run(v: Views) -> DataFrame:
 # -- a whole strategy -------------------------------------------------------------------------------------------------------
 
 
-def crossover(**changes) -> Strategy:
-    """The moving-average crossover of the samples on adjusted prices."""
+def rebound(**changes) -> Strategy:
+    """Buys a fall of some true ranges below the long average while the short one holds, sells back at the average."""
     book = extended(X.ref_factor("ema10", 1), X.ref_factor("sma30", 1))
-    up = lambda p: (
-        (F.col("orig_open") >= p.min_stock_price)
-        & (S.volatility_pct() >= p.min_volatility)
-        & (F.col("ema10") > F.col("sma120"))
-        & (F.col("ema10_ref1") < F.col("sma30_ref1"))
-        & (F.col("ema10") > F.col("sma30"))
-    )
-    down = lambda p: (F.col("ema10_ref1") > F.col("sma30_ref1")) & (F.col("ema10") < F.col("sma30"))
-    base = Strategy(
-        "ma crossover",
+    fallen = lambda p: F.col("close") <= F.col("sma120") - p.ranges * F.col("atr")
+    rising = lambda p: (F.col("ema10_ref1") > F.col("sma30_ref1") * p.trend) & (F.col("typical_price") >= F.col("close"))
+    return Strategy(
+        "rebound",
         ("sma120", "ema10", "sma30", "typical_price", "atr", "ema10_ref1", "sma30_ref1"),
-        up,
-        down,
-        stop_loss=5.0,
-        take_profit=8.0,
-        max_position_opens=5,
-        max_position_size=0.25,
-        min_trade_amount=5_000.0,
-        custom_params={"min_stock_price": 48.0, "min_volatility": 3.0},
+        lambda p: fallen(p) & rising(p),
+        lambda p: (F.col("close") >= F.col("sma30")) & (F.col("sma30") < F.col("sma30_ref1")),
+        stop_loss=6.0,
+        take_profit=9.0,
+        max_position_opens=4,
+        max_position_size=0.2,
+        custom_params={"ranges": 0.25, "trend": 0.995},
         book=book,
         pre_process=lambda bars: bars.where(F.col(CODE) % 13 != 0),
-    )
-    return base.with_params(**changes)
+    ).with_params(**changes)
 
 
 @query("strategy_factor_table")
 def _factor_table(v: Views) -> DataFrame:
-    return crossover().factor_table(v.bars, v.factors).drop("pos")
+    return rebound().factor_table(v.bars, v.factors).drop("pos")
 
 
 @query("strategy_signals")
 def _strategy_signals(v: Views) -> DataFrame:
-    plan = crossover()
+    plan = rebound()
     return plan.signals(plan.factor_table(v.bars, v.factors))
 
 
 @query("strategy_backtest")
 def _backtest(v: Views) -> DataFrame:
-    plan = crossover()
+    plan = rebound()
     table = plan.factor_table(v.bars, v.factors)
     book = plan.backtest(table, v.calendar, 1_000_000.0, Fees(), seed=11)
     return run_evaluator(book["log"], book["capitals"])
