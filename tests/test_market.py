@@ -79,7 +79,8 @@ def test_runs_without_trades_are_kept(spark, bars):
     runs = spark.createDataFrame([("r1",), ("r2",)], "run_id string")
     curve = portfolio.equity_curve(trades, bars, calendar, 1e5, by=("run_id",), runs=runs)
     assert {(r.run_id, r["count"]) for r in curve.groupBy("run_id").count().collect()} == {("r1", 3), ("r2", 3)}
-    found = {r.run_id: r for r in metrics.evaluate(trades, curve).collect()}
+    log = spark.createDataFrame([("r1", "OPEN", 0.0), ("r1", "CLOSE", 4.8)], "run_id string, action string, pct_chg double")
+    found = {r.run_id: r for r in metrics.evaluate(log, curve).collect()}
     assert found["r2"].number_of_trades == 0 and found["r1"].number_of_trades == 1
 
 
@@ -89,7 +90,7 @@ def test_backtest_never_overspends(spark, small):
     from tickloom.workload.views import Views
 
     v, plan = Views(spark, small), rebound(ranges=0.0, trend=0.9)
-    book = plan.backtest(plan.factor_table(v.bars, v.factors), v.calendar, 1_000_000.0, Fees(), overlap=True)
+    book = plan.backtest(plan.factor_table(v.bars, v.factors), v.calendar, 200_000_000.0, Fees(), overlap=True)
     row = book["capitals"].agg(F.min("free_cash_amount").alias("least"), F.max("market_value").alias("most")).first()
     assert row.least >= 0 and row.most > 0
 

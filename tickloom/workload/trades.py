@@ -464,7 +464,7 @@ def _strategy_signals(v: Views) -> DataFrame:
 def _backtest(v: Views) -> DataFrame:
     plan = rebound()
     table = plan.factor_table(v.bars, v.factors)
-    book = plan.backtest(table, v.calendar, 1_000_000.0, Fees(), seed=11)
+    book = plan.backtest(table, v.calendar, 200_000_000.0, Fees(), seed=11)
     return run_evaluator(book["log"], book["capitals"])
 
 
