@@ -31,6 +31,11 @@ def pending_vol(vol="vol", filled="filled_vol") -> Column:
     return S.col(vol) - S.col(filled)
 
 
+def is_open(status="status") -> Column:
+    """Not cancelled and not wholly filled; batch and stream expiry share this."""
+    return (S.col(status) != "cancelled") & (pending_vol() > 0)
+
+
 def cancelled_vol(status="status") -> Column:
     return F.when(S.col(status) == "cancelled", pending_vol()).otherwise(F.lit(0))
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions import codes, orders as O, scalar as S
-from tickloom.operators.series import CODE, running
-from tickloom.session import cut_lineage
+from tickloom.operators.series import CODE
 
 
 def _sum(value: Column, when: Column) -> Column:
@@ -63,7 +63,7 @@ def expired_orders(orders: DataFrame, ask_bid: DataFrame, now, ttl: float, code:
     """
     if ttl <= 0:
         return orders.where(F.lit(False))
-    pending = orders.where((F.col("status") != "cancelled") & (O.pending_vol() > 0))
+    pending = orders.where(O.is_open())
     old = pending.where(O.age_seconds(now) >= F.lit(float(ttl)))
     best = ask_bid.select(code, F.get("buy", F.lit(0)).alias("_buy1"), F.get("sell", F.lit(0)).alias("_sell1"))
     queue = F.when(O.is_buy(), F.col("_buy1")).otherwise(F.col("_sell1"))
@@ -139,21 +139,22 @@ def exposure_check(orders: DataFrame, account: DataFrame, positions: DataFrame)
 def greedy_sells(sells: DataFrame, columns: list[str]) -> DataFrame:
     """Serve sells of over-asked codes in order of time and id, skipping what no longer fits.
 
-    Each pass rejects orders larger than what is left, accepts the run of orders whose running total fits and
-    takes it off. The order after the run is too large for the rest, so the next pass rejects it. Running totals
-    are two-level, so a code with very many orders is not walked in one task.
+    Whether an order fits depends on every earlier order of its code, so each code is walked once, in order. The rows
+    stream through the task batch by batch: memory holds one batch and what is left of the current code.
     """
-    order = ["timestamp", "id"]
-    todo, parts = sells, []
-    while True:
-        fits = F.col("vol") <= F.col("_avail")
-        parts.append(todo.where(~fits).select(*columns, F.lit(False).alias("accepted")))
-        totals = cut_lineage(running(todo.where(fits), {"_upto": ("sum", F.col("vol"))}, CODE, order, "day"))
-        served = totals.where(F.col("_upto") <= F.col("_avail"))
-        parts.append(served.select(*columns, F.lit(True).alias("accepted")))
-        rest = totals.where(F.col("_upto") > F.col("_avail")).drop("_upto")
-        if rest.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        taken = served.groupBy(CODE).agg(F.sum("vol").alias("_taken"))
-        left = F.col("_avail") - F.coalesce("_taken", F.lit(0).cast("bigint"))
-        todo = cut_lineage(rest.join(taken, CODE, "left").withColumn("_avail", left).drop("_taken"))
+    ordered = sells.repartition(CODE).sortWithinPartitions(CODE, "timestamp", "id").select(CODE, "id", "vol", "_avail")
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema}
+
+    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, left = None, 0
+        for batch in batches:
+            accepted = []
+            for code, vol, avail in zip(batch[CODE], batch["vol"], batch["_avail"]):
+                if code != current:
+                    current, left = code, avail
+                accepted.append(bool(vol <= left))
+                left -= vol if accepted[-1] else 0
+            yield batch[["id"]].assign(accepted=accepted)
+
+    served = ordered.mapInPandas(serve, f"id {kinds['id']}, accepted boolean")
+    return sells.join(served, "id").select(*columns, "accepted")
