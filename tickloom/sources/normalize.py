@@ -92,10 +92,11 @@ def kv_to_row(
 ) -> DataFrame:
     """Long item/value rows → one record per ``by``. Values are text; scaled ones become DOUBLE in hundred millions.
 
-    The pivot has a fixed list of items, so it is one partial aggregation without a scan for distinct items.
+    The pivot has a fixed list of items, so it is one partial aggregation without a scan for distinct items. Of several
+    values of one item the smallest text is taken.
     """
     scaled = PROFILE_SCALED if scaled is None else scaled
-    pivoted = df.groupBy(by).pivot(key, list(mapping)).agg(F.first(value, ignorenulls=True))
+    pivoted = df.groupBy(by).pivot(key, list(mapping)).agg(F.min(value))
     out = pivoted.withColumnsRenamed(mapping)
     return out.withColumns({c: F.col(c).try_cast("double") * F.lit(HUNDRED_MILLION) for c in scaled if c in out.columns})
 

@@ -25,10 +25,10 @@ def with_bucket(bars: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def save_bars_by_code(bars: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
     """Write bars partitioned by bucket and year, sorted by code and day inside a file, so that code and date
-    filters skip row groups. Rows are spread by (bucket, year): a code with very many rows fills many tasks."""
+    filters skip row groups. The rebalance splits a large (bucket, year) over many tasks and joins small ones."""
     spread = with_bucket(bars, buckets).withColumn("year", F.year(DT))
     (
-        spread.repartition("bucket", "year")
+        spread.hint("rebalance", "bucket", "year")
         .sortWithinPartitions("bucket", "year", CODE, DT)
         .write.mode(mode)
         .partitionBy("bucket", "year")
@@ -57,8 +57,8 @@ def export_minute_bars(raw: DataFrame, key: str = "key") -> DataFrame:
 
 
 def save_minute_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Partition by month; rows are spread by month and day so that a month is not one task."""
-    bars.repartition("month", "dt").sortWithinPartitions("month", CODE, "dt", "time").write.mode(mode).partitionBy("month").parquet(path)
+    """Partition by month; the rebalance splits months, and market days within them, by size."""
+    bars.hint("rebalance", "month").sortWithinPartitions("month", CODE, "dt", "time").write.mode(mode).partitionBy("month").parquet(path)
 
 
 INT_STEPS = [("tinyint", 2**7), ("smallint", 2**15), ("int", 2**31)]
