@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tickloom.functions import orders as O
 from tickloom.operators.adjust import to_real_price
@@ -25,22 +27,27 @@ def day_factors(quotes: DataFrame, hist: DataFrame, names: Iterable[str], day, m
 
 
 def open_factors_sink(hist: DataFrame, names: Iterable[str], path: str, min_bars: int, book: FactorBook = BUILTIN):
-    """Batch handler: the opening quotes of a day give that day's factor table, once per day.
+    """Batch handler: the opening quotes of a day give that day's factor table, once per code and day.
 
-    The table is partitioned by day and written by overwriting the day, so a repeated batch changes nothing.
-    Days already present are skipped. A batch holds a few trade days, whose list is the only thing collected.
+    Each batch overwrites its own folder ``batch=<id>`` and looks only at earlier batches for codes that are done, so a
+    batch repeated after a failure gives the same rows, and codes whose quote comes later are still added. A batch
+    holds a few trade days, whose list is the only thing collected.
     """
     names = list(names)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if batch_id:
+            keys = StructType([batch.schema[CODE], batch.schema[DT], StructField("batch", LongType())])
+            done = spark.read.schema(keys).parquet(path).where(F.col("batch") < batch_id)
+            batch = batch.join(done.select(CODE, DT), [CODE, DT], "left_anti")
+        parts = []
         for (day,) in sorted(batch.select(DT).distinct().collect()):
-            target = f"{path}/dt={day}"
-            if _exists(spark, target):
-                continue
             quotes = latest_record(batch.where(F.col(DT) == F.lit(day)), dt="ts").drop("ts")
             past = hist.where(F.col(DT) < F.lit(day))
-            day_factors(quotes, past, names, day, min_bars, book).drop(DT).write.mode("overwrite").parquet(target)
+            parts.append(day_factors(quotes, past, names, day, min_bars, book))
+        rows = reduce(DataFrame.unionByName, parts) if parts else batch.select(CODE, DT)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return handle
 
@@ -66,54 +73,55 @@ def close_monitor_sink(
     return handle
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 # -- orders ------------------------------------------------------------------------------------------------------------
 
-_EXPIRED = "id string, code string, direction string, price double, timestamp timestamp, expired_at timestamp"
-_PENDING = "code string, direction string, price double, placed bigint"
+_EXPIRED = "id string, code {code}, direction string, price double, timestamp timestamp, expired_at timestamp"
+_LATEST = "code {code}, direction string, price double, placed bigint, seen bigint, open boolean"
 
 
 def expiring_orders(orders: DataFrame, ttl_seconds: int, delay: str = "0 seconds") -> DataFrame:
-    """Emit each order that is still pending ``ttl_seconds`` of event time after it was placed.
+    """Emit each order that is still open ``ttl_seconds`` of event time after it was placed.
 
-    One small state per open order id, dropped when the order is filled, cancelled or expired.
+    One small state per order id holds the latest record by event time, so a late record never reopens an order that
+    was filled or cancelled. The state ends when the watermark has passed the order's time to live.
     """
-    pending = (~F.col("status").isin("cancelled", "filled")) & (O.pending_vol() > 0)
-    events = orders.select("id", "code", "direction", "price", "timestamp", "event_ts", pending.alias("pending"))
+    events = orders.select("id", "code", "direction", "price", "timestamp", "event_ts", O.is_open().alias("open"))
+
+    code_type = dict(events.dtypes)[CODE]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            code, side, price, placed = state.get
-            at = pd.Timestamp(placed, unit="us")
+            code, side, price, placed, _, still_open = state.get
             state.remove()
-            yield pd.DataFrame(
-                {"id": [key[0]], "code": [code], "direction": [side], "price": [price], "timestamp": [at],
-                 "expired_at": [at + pd.Timedelta(seconds=ttl_seconds)]}
-            )
+            if still_open:
+                at = pd.Timestamp(placed, unit="us")
+                yield pd.DataFrame(
+                    {"id": [key[0]], "code": [code], "direction": [side], "price": [price], "timestamp": [at],
+                     "expired_at": [at + pd.Timedelta(seconds=ttl_seconds)]}
+                )
             return
-        rows = pd.concat(list(batches)).sort_values("event_ts")
-        last = rows.iloc[-1]
-        if not last["pending"]:
-            if state.exists:
-                state.remove()
-            return
-        if not state.exists:
-            placed = int(last["timestamp"].value // 1_000)
-            state.update((last["code"], last["direction"], float(last["price"]), placed))
-        placed = state.get[3]
-        state.setTimeoutTimestamp(max(placed // 1_000 + ttl_seconds * 1_000, state.getCurrentWatermarkMs() + 1))
+        latest = state.get if state.exists else None
+        for rows in batches:
+            # of records with one event time, a closing one wins
+            last = rows.sort_values(["event_ts", "open"], ascending=[True, False]).iloc[-1]
+            seen = _micros(last["event_ts"])
+            if latest is None or seen > latest[4] or (seen == latest[4] and not last["open"]):
+                placed = _micros(last["timestamp"]) if latest is None else latest[3]
+                latest = (last["code"], last["direction"], float(last["price"]), placed, seen, bool(last["open"]))
+        state.update(latest)
+        state.setTimeoutTimestamp(max(latest[3] // 1_000 + ttl_seconds * 1_000, state.getCurrentWatermarkMs() + 1))
 
     return (
         events.withWatermark("event_ts", delay)
         .groupBy("id")
-        .applyInPandasWithState(step, _EXPIRED, _PENDING, "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(step, _EXPIRED.format(code=code_type), _LATEST.format(code=code_type), "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
+def _micros(at: pd.Timestamp) -> int:
+    return int(at.value) // 1_000
+
+
 def not_at_best_price(expired: DataFrame, ask_bid: DataFrame) -> DataFrame:
     """Expired orders that do not stand at the best price of their side."""
     best = ask_bid.select(CODE, F.get("buy", F.lit(0)).alias("_buy1"), F.get("sell", F.lit(0)).alias("_sell1"))
@@ -136,13 +144,14 @@ def account_state_sink(overnight: DataFrame, opening: DataFrame, path: str, now:
     """Batch handler: keeps the latest record per order and rewrites positions and account after every batch.
 
     Each batch reads the order table its predecessor wrote and writes its own, so repeating a batch gives the same
-    tables. The state is one row per order of the day.
+    tables; a predecessor's table that is missing fails the batch instead of starting anew. The state is one row per
+    order of the day.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = f"{path}/orders/batch={batch_id - 1}"
-        known = spark.read.schema(batch.schema).parquet(before) if _exists(spark, before) else batch.limit(0)
+        known = spark.read.schema(batch.schema).parquet(before) if batch_id else batch.limit(0)
         current = latest_record(known.unionByName(batch), key="id", dt="event_ts")
         current.write.mode("overwrite").parquet(f"{path}/orders/batch={batch_id}")
         orders = latest_orders(spark.read.schema(batch.schema).parquet(f"{path}/orders/batch={batch_id}"), now)

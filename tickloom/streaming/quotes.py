@@ -11,11 +11,11 @@ from tickloom import schemas
 from tickloom.functions import codes as C, rules
 from tickloom.functions.dates import TRADABLE_PHASES, market_phase
 from tickloom.operators.adjust import adjust_latest
-from tickloom.operators.filters import tradable_markets
+from tickloom.operators.filters import not_blacklisted, not_in, tradable_markets
 from tickloom.operators.series import CODE
 
 
-def read_quotes(spark: SparkSession, path: str, schema: StructType = schemas.QUOTE, **options) -> DataFrame:
+def read_quotes(spark: SparkSession, path: str, schema: StructType | str = schemas.QUOTE, **options) -> DataFrame:
     """File stream of quotes. Event times without a zone become TIMESTAMP (the session runs in UTC)."""
     raw = spark.readStream.schema(schema).options(**options).parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in raw.columns else raw
@@ -39,11 +39,19 @@ def late_ticks(quotes: DataFrame, delay_seconds: float, ingest: Column | None =
     return quotes.where(age <= F.lit(int(delay_seconds * 1_000_000)))
 
 
-def signal_stream(quotes: DataFrame, factors: DataFrame, adjust: DataFrame, rule: Column, price: str = "close") -> DataFrame:
+def signal_stream(
+    quotes: DataFrame, factors: DataFrame, adjust: DataFrame, rule: Column, price: str = "close", exclude: Iterable[DataFrame] = (), blacklist: DataFrame | None = None
+) -> DataFrame:
     """Adjust each tick, lay it over the day's factors and emit the ticks that trigger: (code, ts, order_price).
 
+    Codes of the ``exclude`` tables (held, already traded) and those on the blacklist at the tick's day never trigger.
+
     The factor table is static within the day, so this is a stream-static join without state.
     """
+    for table in exclude:
+        quotes = not_in(quotes, table)
+    if blacklist is not None:
+        quotes = not_blacklisted(quotes.withColumn("_day", F.to_date("ts")), blacklist, date_col="_day").drop("_day")
     adjusted = adjust_latest(quotes, adjust)
     shared = [c for c in adjusted.columns if c in factors.columns and c != CODE]
     live = adjusted.withColumnsRenamed({c: f"_q_{c}" for c in shared})
