@@ -58,7 +58,7 @@ def _market_value(v: Views) -> DataFrame:
     return P.market_value(v.positions).select(S.rounded("market_value", 1).alias("market_value"))
 
 
-@query("opened_today", with_views("oledger", body="SELECT count(*) FILTER (direction='buy') AS n_bought, greatest(0, 100000-count(*) FILTER (direction='buy')) AS remaining_opens FROM oledger"))
+@query("remaining_opens", with_views("oledger", body="SELECT count(*) FILTER (direction='buy') AS n_bought, greatest(0, 100000-count(*) FILTER (direction='buy')) AS remaining_opens FROM oledger"))
 def _opened(v: Views) -> DataFrame:
     return P.opened_today(v.orders, 100_000)
 

@@ -107,7 +107,7 @@ def run_days(v: Views, make: Callable[[DataFrame, str], Callable]) -> str:
     return path
 
 
-@query("open_factors", with_views("ticks", body=DAILY + "SELECT code, dt, sma3 FROM d"))
+@query("day_open_factors", with_views("ticks", body=DAILY + "SELECT code, dt, sma3 FROM d"))
 def _open_factors(v: Views) -> DataFrame:
     path = run_days(v, lambda hist, path: live.open_factors_sink(hist, ["sma3"], path, 3))
     schema = "code bigint, dt date, sma3 double"
