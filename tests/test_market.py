@@ -67,6 +67,17 @@ def test_grid_has_no_cap():
     assert len(sweep.runs_of(sets, 15_000)) == 30_000
 
 
+def test_runs_of_a_generator():
+    def falling():
+        level = 8.0
+        while level > 1:
+            yield {"stop_loss": level}
+            level /= 2
+
+    runs = sweep.runs_of(falling, 2)
+    assert [r["stop_loss"] for r in runs] == [8.0, 4.0, 2.0] * 2 and len({r["run_id"] for r in runs}) == 6
+
+
 def test_equal_signals_stay_apart(spark, bars):
     signals = spark.createDataFrame([("000333", D("2020-10-10"), 105.0)] * 2, "code string, dt date, order_price double")
     got = exits.entry_exit(signals, bars, 3.0, 4.0).collect()

@@ -24,9 +24,10 @@ def param_sets(axes: Iterable[Axis]) -> list[dict[str, float]]:
     return sets
 
 
-def runs_of(sets: Sequence[dict[str, float]], repetitions: int = 1) -> list[dict[str, float]]:
-    """One run per (parameter set, repetition): run_id, batch_id, repetition and the parameters."""
-    runs = []
+def runs_of(sets: Iterable[dict[str, float]] | Callable[[], Iterable[dict[str, float]]], repetitions: int = 1) -> list[dict[str, float]]:
+    """One run per (parameter set, repetition): run_id, batch_id, repetition and the parameters. ``sets`` may be a
+    function that makes the parameter sets."""
+    sets, runs = list(sets() if callable(sets) else sets), []
     for rep in range(1, repetitions + 1):
         for i, params in enumerate(sets, 1):
             runs.append({"run_id": f"{rep}-{i}", "batch_id": f"{rep}-1", "repetition": rep, **params})
