@@ -205,3 +205,14 @@ def test_recall_and_odd_vectors(spark, small):
 def test_hadamard_is_a_rotation():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(neighbours.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
+
+
+def test_stem_counts_only_when_repeated():
+    from tickloom.llm.toxicity import Restorer, _related, entries
+
+    assert {"zorkel", "zork+2"} <= entries(["zorkel", "zorkan", "mild"]) and "zork+3" not in entries(["zorkel", "zorkan"])
+    model = Restorer({}, {"zork+2": 0.9, "loser": 0.9})
+    assert model.hits("a Zorkel, met zorkan") == {"zork+2"}
+    assert model.hits("one zorkel met a mild zork") == set()  # the stem itself is no word that continues it
+    assert model.hits("") == set() and model.hits("Loser!") == {"loser"}
+    assert _related("zork+2", "zorkel") and _related("zork+2", "zor+3") and not _related("idiot", "idiots")

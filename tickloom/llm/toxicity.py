@@ -3,8 +3,10 @@
 A writer who hides a word swaps letters for look-alikes (1d10t), spaces it out (i d i o t, i.d.i.o.t) or repeats
 letters (idiiiot). A suspicious token becomes a lattice of the letters each character may stand for; Viterbi finds
 the likeliest letters under a trigram model of characters, counted over the words of all documents. The restored
-words are looked up in a lexicon learnt from labelled rows: words whose texts are mostly toxic, beyond chance. The score is 1 - (1 - p0) * product(1 - p_word) over the lexicon words a text holds, with p_word the
-share of toxic texts among labelled texts with the word.
+words are looked up in a lexicon learnt from labelled rows: words whose texts are mostly toxic, beyond chance, and
+stems, that is, beginnings that several words of a text must share (a language may build insults on a stem, each word
+too rare to be learnt by itself). The score is 1 - (1 - p0) * product(1 - p_entry) over the lexicon entries a text
+holds, with p_entry the share of toxic texts among labelled texts with the entry.
 
 Nulls and empty texts score p0. Labels that repeat a doc_id count once, the highest wins; null labels are left out.
 Every row is scored by itself, so repeated rows agree; an empty table gives none. Without toxic labels the lexicon
@@ -27,9 +29,11 @@ from tickloom.llm.common import held_out, slices, stored
 
 #: Labelled rows the lexicon is learnt from, at most; the first by a hash of the id.
 TRAIN_ROWS = 20_000
-#: Words that a lexicon is chosen from, at most: those in most toxic texts.
+#: Words and stems that a lexicon is chosen from, at most: those in most toxic texts.
 CANDIDATES = 4096
-MIN_SUPPORT, MIN_PRECISION = 3, 0.9
+MIN_SUPPORT, MIN_PRECISION = 3, 0.85
+#: Letters of a stem, and how many words of a text must begin with it.
+STEM, REPEATS = range(3, 11), (2, 3)
 #: Log-likelihood that a word's gain must have beyond the logarithm of the number of words tried.
 CERTAINTY = 3
 #: Share of disguised words that the channel takes to be lexicon words, whatever their share of the corpus.
@@ -64,6 +68,12 @@ def suspicious(word: str) -> bool:
     return not word.isalpha() or _RUN.search(word) is not None
 
 
+def entries(words: list[str]) -> set[str]:
+    """What a lexicon may hold of a text's plain words: each word, and "stem+n" where n or more words share a stem."""
+    shared = Counter(w[:k] for w in words for k in STEM if k < len(w))
+    return set(words).union(f"{p}+{n}" for p, found in shared.items() for n in REPEATS if found >= n)
+
+
 def letter_counts(docs: DataFrame) -> DataFrame:
     """(code, n): trigrams of the letters of all words of all texts; code = (first * SIZE + second) * SIZE + third."""
     def run(batches):
@@ -101,9 +111,10 @@ class Restorer:
         for code, n in counts.items():
             n3.flat[code] = n
         total = n3.sum()
-        if lexicon:
+        words = [w for w in lexicon if "+" not in w]
+        if words:
             own = Counter()
-            _trigrams(Counter(dict.fromkeys(lexicon, 1)), own)
+            _trigrams(Counter(dict.fromkeys(words, 1)), own)
             scale = LEXICON_SHARE * max(total, 1.0) / sum(own.values())
             for code, n in own.items():
                 n3.flat[code] += n * scale
@@ -113,8 +124,9 @@ class Restorer:
         p2 = (m2 + 5 * p1[None, :]) / (m2.sum(axis=1, keepdims=True) + 5)
         self.logp = np.log((n3 + 5 * p2[None, :, :]) / (n2[:, :, None] + 5)).astype(np.float32)
         self.lexicon = dict(lexicon)
+        self.stems = {p: int(n) for p, _, n in (w.partition("+") for w in lexicon) if n}
         # looked up with repetitions taken out, as the channel can't tell an added letter from a doubled one
-        self.plain = {_RUNS.sub(r"\1", w): w for w in sorted(lexicon)}
+        self.plain = {_RUNS.sub(r"\1", w): w for w in sorted(words)}
         self.lengths = sorted({len(w) for w in self.plain})
         self.longest = max(self.lengths, default=0)
         self.cache: dict[str, tuple[str, ...]] = {}
@@ -166,16 +178,23 @@ class Restorer:
         """Fewest letters that ``word`` can stand for: separators and repetitions can go, others can't."""
         return sum(c not in SEPARATORS and c not in WILD for c in _RUNS.sub(r"\1", word))
 
+    def _stems(self, word: str) -> tuple[str, ...]:
+        return tuple(f"{p}+" for k in STEM if k < len(word) and (p := word[:k]) in self.stems)
+
     def found(self, token: str) -> tuple[str, ...]:
-        """Lexicon words that a token holds."""
+        """Lexicon words that a token holds, and stems, marked by a plus sign, that it begins with."""
         if (got := self.cache.get(token)) is None:
             w = core(token)
             got = (w,) if w in self.lexicon else ()
             if not got and w and suspicious(w) and self.shortest(w) <= self.longest:
                 for form in dict.fromkeys((w, token.strip(".,;:?…\"'«»“”‘’[]{}"))):
-                    if (r := _RUNS.sub(r"\1", self.decode(form))) in self.plain:
+                    if (r := _RUNS.sub(r"\1", restored := self.decode(form))) in self.plain:
                         got = (self.plain[r],)
                         break
+                    if got := self._stems(restored):
+                        break
+            elif w and not suspicious(w):
+                got += self._stems(w)
             if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[token] = got
@@ -183,7 +202,14 @@ class Restorer:
 
     def hits(self, text: str) -> set[str]:
         low = text.lower()
-        out = {w for t in set(low.split()) for w in self.found(t)}
+        out, stems = set(), Counter()
+        for t, n in Counter(low.split()).items():
+            for w in self.found(t):
+                if w.endswith("+"):
+                    stems[w[:-1]] += n
+                else:
+                    out.add(w)
+        out.update(f"{p}+{self.stems[p]}" for p, n in stems.items() if n >= self.stems[p])
         for m in _SPACED.finditer(low):  # letters set apart: the words may start and end anywhere in the run
             run = _RUNS.sub(r"\1", self.decode("".join(m[0].split())))
             for n in self.lengths:
@@ -195,14 +221,14 @@ class Restorer:
 
 
 def _training_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(family, toxic, words): distinct plain words of labelled texts, held-out rows left out."""
+    """(family, toxic, words): the ``entries`` of labelled texts, held-out rows left out."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))) \
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
 
     def run(batches):
         for b in slices(batches, 0):
             lists = [(x or "").lower().split() for x in b.column(0).to_pylist()]
-            words = [sorted({w for t in set(x) if (w := core(t)) and not suspicious(w)}) for x in lists]
+            words = [sorted(entries([w for t in x if (w := core(t)) and not suspicious(w)])) for x in lists]
             family = [min((zlib.crc32(" ".join(x[i : i + 4]).encode()) for i in range(max(1, len(x) - 3))), default=0) for x in lists]
             yield pa.RecordBatch.from_arrays([pa.array(family, pa.int64()), b.column(1), pa.array(words, pa.list_(pa.string()))], names=["family", "toxic", "words"])
 
@@ -212,10 +238,11 @@ def _training_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
-    """(lexicon with the words' probabilities, p0), from at most TRAIN_ROWS labelled rows.
+    """(lexicon with its entries' probabilities, p0), from at most TRAIN_ROWS labelled rows.
 
     Near copies mostly share the least hash of their four-word runs and count as one family. A word is taken if, by families, most
-    texts with it are toxic, and so many more than of all texts that none of all the words would be so by chance.
+    texts with it are toxic, and so many more than of all texts that none of all the words would be so by chance. Of a stem and the words and stems that continue it, the one with the greatest
+    gain in likelihood is taken: a word met by chance says nothing where only its stem's repetition does.
     """
     rows = stored(_training_words(docs, labels), "words")
     by_word = rows.select("family", "toxic", F.explode("words").alias("word")).groupBy("word", "family").agg(F.max("toxic").alias("t")) \
@@ -224,17 +251,27 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     of = rows.groupBy("family").agg(F.max("toxic").alias("t")).agg(F.coalesce(F.sum("t"), F.lit(0)), F.count("*")).first()
     base, vocabulary = (of[0] + 0.5) / (of[1] + 1), by_word.count()
     counts = by_word.where((F.col("t") >= MIN_SUPPORT) & (F.col("t") >= MIN_PRECISION * (F.col("t") + F.col("c")))).orderBy(F.desc("t"), "c", "word").limit(CANDIDATES)
-    lexicon = {}
+    sure = []
     for r in counts.collect():
         t, c = r.t, r.c
         gain = t * math.log(t / (t + c) / base) + (c * math.log(c / (t + c) / (1 - base)) if c else 0)
         if gain >= math.log(vocabulary) + CERTAINTY:
-            lexicon[r.word] = (t + 0.5) / (t + c + 1)
+            sure.append((-gain, -len(r.word), r.word, (t + 0.5) / (t + c + 1)))
+    lexicon = {}
+    for _, _, word, p in sorted(sure):
+        if not any(_related(word, other) for other in lexicon):
+            lexicon[word] = p
     without = rows if not lexicon else rows.where(~F.arrays_overlap("words", F.array(*map(F.lit, sorted(lexicon)))))
     rest = without.groupBy("family").agg(F.max("toxic").alias("t")).agg(F.coalesce(F.sum("t"), F.lit(0)), F.count("*")).first()
     return lexicon, (rest[0] + 0.5) / (rest[1] + 1)
 
 
+def _related(a: str, b: str) -> bool:
+    """Whether one entry is a stem that the other one continues or is."""
+    (p, _, m), (q, _, n) = a.partition("+"), b.partition("+")
+    return bool(m or n) and (p.startswith(q) or q.startswith(p))
+
+
 def fit(docs: DataFrame, labels: DataFrame):
     """Broadcast (Restorer, p0): the lexicon from labels, the character model from all of ``docs``."""
     lexicon, p0 = learn(docs, labels)
