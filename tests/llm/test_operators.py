@@ -141,6 +141,23 @@ def test_template_of_a_host(spark):
     assert got[3] == "T3\nText 3 here.\nMore 21." and got[90] == "alone" and got[91] == ""
 
 
+def test_alignment_decides_within_marked_elements(spark):
+    def shared(i):  # a slot that all articles share is template, one that differs on a page is that page's own
+        return f"<article><h1>T{i}</h1><p>Text {i}.</p><div class=end>{'Own end' if i == 5 else 'Read on elsewhere'}</div></article>"
+
+    def teasers(i):
+        return f"<main><h1>M{i}</h1><p>{'A long body. ' * 9}{i}</p></main><section><article>Teaser {i + 1}</article></section>"
+
+    def form(i):
+        return f"<form id=page><div class=ad>Buy {i}</div><h1>F{i}</h1><p>{'All is within a form. ' * 9}{i}</p></form>"
+
+    made = {"shared": shared, "teasers": teasers, "form": form}
+    rows = [(f"{name}{i}", f"http://{name}.example/{i}", make(i)) for name, make in made.items() for i in range(20)]
+    got = {r.page_id: r.text.split("\n") for r in wrapper.main_text(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got["shared3"] == ["T3", "Text 3."] and got["shared5"] == ["T5", "Text 5.", "Own end"]
+    assert got["teasers3"] == ["M3", "A long body. " * 9 + "3"] and got["form3"] == ["F3", "All is within a form. " * 9 + "3"]
+
+
 def test_simple_tree_matching():
     a = [(0, "#", 1), (1, "div", 2), (2, "p", 3), (1, "ul", 4)]
     b = [(0, "#", 1), (1, "h1", 9), (1, "div", 2), (2, "p", 5), (2, "b", 6), (1, "ul", 4)]

@@ -3,16 +3,18 @@
 Each page is parsed leniently into a tree. Siblings with the same signature (tag, class, id) fold into one slot, so a
 page's skeleton is small however long its article is. Every page of a host is aligned with one reference page of that
 host by simple tree matching (roots must agree; children are matched in order, for the greatest number of matched
-nodes). Slots whose text is the same on nearly all aligned pages are the host's template; slots that vary carry
-content. Alignment is counted as sums over pages, so a host with a third of all pages is shared by all tasks.
+nodes). Slots whose text is the same on nearly all aligned pages are the host's template, within articles too; slots
+that vary carry content. Alignment is counted as sums over pages, so a host with a third of all pages is shared by all
+tasks.
 
-Extraction drops the template's slots and what markup itself declares to be no content: menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments of readers. If a page marks its article (article or
-main elements), nothing outside them is kept, and nothing within them counts as template: a passage shared by all of a
-host's articles is still theirs. Blocks come out in page order, one line each.
+Markup is evidence on the varying slots. Menus, headers, footers, scripts and the like never hold content. Words of
+classes (adverts, comments of readers) and forms count against a slot, unless it holds nearly all that varies on the
+host. Article and main elements count for their slots: where they hold a fair share of the varying text, nothing
+outside them is kept; of the two, the one that holds the body, as a page may have teasers in article elements beside
+it. Blocks come out in page order, one line each.
 
 Null html is empty and gives an empty text; a null or host-less url has no host, so its page has no template. A host
-of fewer than MIN_PAGES different skeleton texts has none either. Repeated rows are extracted alike.
+of fewer than MIN_PAGES different skeletons has none either; their pages are judged by their own slots. Repeated rows are extracted alike.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ from tickloom.llm.url_filter import host_of
 
 #: Aligned pages that a template slot needs, and the share of them that must agree.
 MIN_PAGES, CONSTANT = 4, 0.9
+#: A slot with words against it is content if it holds so many times the other varying text of the host.
+OUTWEIGHS = 10
+#: Article and main elements are believed if they hold this share of the varying text.
+MARKED = 0.25
 #: Wrappers of all hosts together are broadcast up to this size; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 SALTS = 16
@@ -49,9 +55,9 @@ ENDS = {
 }
 #: Elements that hold no article text, whatever their class.
 NO_CONTENT = frozenset(
-    "head script style noscript template nav header footer aside form button select option input textarea svg canvas iframe object embed menu dialog title".split())
-#: Roles, and words of classes and ids, that declare the same.
-NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+    "head script style noscript template nav header footer aside button select option input textarea svg canvas iframe object embed menu dialog title".split())
+#: Roles that declare the same, and words of classes and ids that count against an element.
+NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 NO_CONTENT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
     "header masthead footer sidebar aside widget related recommended share sharing social cookie cookies consent gdpr notice alert popup modal overlay "
@@ -73,11 +79,14 @@ class Node:
 
 def declared_empty(tag: str, attrs: dict[str, str]) -> bool:
     """Whether markup says that an element isn't part of the article."""
-    if tag in NO_CONTENT or attrs.get("role", "").lower() in NO_CONTENT_ROLES or "hidden" in attrs:
-        return True
+    return tag in NO_CONTENT or attrs.get("role", "").lower() in NO_CONTENT_ROLES or "hidden" in attrs
+
+
+def doubted(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether words of its class or id, or that it is a form, count against an element."""
     if tag in ARTICLE or tag in ("html", "body"):
         return False
-    return any(w in NO_CONTENT_WORDS for k in ("class", "id") for w in _WORDS.findall(attrs.get(k, "").lower()))
+    return tag == "form" or attrs.get("role", "").lower() == "form" or any(w in NO_CONTENT_WORDS for k in ("class", "id") for w in _WORDS.findall(attrs.get(k, "").lower()))
 
 
 def parse(page: str) -> Node:
@@ -125,7 +134,8 @@ def parse(page: str) -> Node:
                 if stack[i].tag in own:
                     del stack[i:]
                     break
-        node = Node(tag, f"{tag}.{attrs.get('class', '')}#{attrs.get('id', '')}", declared_empty(tag, attrs))
+        doubt = doubted(tag, attrs)
+        node = Node(tag, f"{'?' * doubt}{tag}.{attrs.get('class', '')}#{attrs.get('id', '')}", declared_empty(tag, attrs) or doubt and tag not in BLOCKS)
         stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
@@ -140,43 +150,34 @@ def parse(page: str) -> Node:
     return root
 
 
-def _text(root: Node) -> str:
-    parts, todo = [], [root]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            parts.append(x)
-        else:
-            todo.extend(reversed(x.kids))
-    return _SPACE.sub(" ", " ".join(parts)).strip()
-
-
-def fold(root: Node) -> list[tuple[int, str, int]]:
-    """Skeleton in preorder: (depth, signature, checksum of the own text); same-signature siblings are one slot.
-
-    Elements without content, and whole articles, are leaves of no interest and left out.
-    """
+def fold(root: Node) -> list[tuple[int, str, int, int]]:
+    """Skeleton in preorder: (depth, signature, checksum of the own text, its length); same-signature siblings are one
+    slot. Text and blocks of inline elements are their block's; elements without content are left out."""
     out, todo = [], [(0, "#", [root])]
     while todo:
         depth, sign, group = todo.pop()
         own, slots = [], {}
         for node in group:
-            for x in node.kids:
+            inner = list(reversed(node.kids))
+            while inner:
+                x = inner.pop()
                 if isinstance(x, str):
                     own.append(x)
-                elif x.tag in BLOCKS and not x.dead and x.tag not in ARTICLE:
+                elif x.dead:
+                    continue
+                elif x.tag in BLOCKS:
                     slots.setdefault(x.sign, []).append(x)
-                elif x.tag not in BLOCKS and not x.dead:
-                    own.append(_text(x))
+                else:
+                    inner.extend(reversed(x.kids))
         text = _SPACE.sub(" ", " ".join(own)).strip()
-        out.append((depth, sign, zlib.crc32(text.encode("utf-8", "replace")) if text else -1))
+        out.append((depth, sign, zlib.crc32(text.encode("utf-8", "replace")) if text else -1, len(text)))
         todo.extend((depth + 1, s, g) for s, g in reversed(slots.items()))
     return out
 
 
 def children(skeleton: list[tuple[int, str, int]]) -> list[list[int]]:
     kids, path = [[] for _ in skeleton], []
-    for i, (depth, _, _) in enumerate(skeleton):
+    for i, (depth, *_) in enumerate(skeleton):
         del path[depth:]
         if path:
             kids[path[-1]].append(i)
@@ -222,14 +223,66 @@ def align(a: list[tuple[int, str, int]], b: list[tuple[int, str, int]]) -> list[
     return sorted(pairs)
 
 
-def extract(page: str, reference: list[tuple[int, str, int]] | None = None, template: set[int] | None = None) -> str:
-    """The page's main text; ``template``: numbers of the reference's slots that are the host's template."""
+def doubts(path: tuple[str, ...], lifted: set[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """Elements on the way to a slot that words count against."""
+    return [path[: k + 1] for k, sign in enumerate(path) if sign[0] == "?" and path[: k + 1] not in lifted]
+
+
+def outweighing(slots: list[tuple[tuple[str, ...], int]]) -> set[tuple[str, ...]]:
+    """Of (path, length of the text) of varying slots, the doubted elements that hold nearly all the text."""
+    lifted: set[tuple[str, ...]] = set()
+    while True:
+        rest, held = 0, {}
+        for path, n in slots:
+            against = doubts(path, lifted)
+            if not against:
+                rest += n
+            elif len(against) == 1:
+                held[against[0]] = held.get(against[0], 0) + n
+        top = max(held, key=lambda p: (held[p], p), default=None)
+        if top is None or held[top] <= OUTWEIGHS * rest:
+            return lifted
+        lifted.add(top)
+
+
+def within(path: tuple[str, ...], kind: str) -> bool:
+    return any(sign.startswith(kind + ".") for sign in path)
+
+
+def marked(slots: list[tuple[tuple[str, ...], int]], lifted: set[tuple[str, ...]]) -> str:
+    """The kind of element, article or main, that holds the body; empty if neither does."""
+    sure = [(within(p, "article"), within(p, "main"), n) for p, n in slots if not doubts(p, lifted)]
+    article, main_only = sum(n for a, _, n in sure if a), sum(n for a, m, n in sure if m and not a)
+    main = sum(n for _, m, n in sure if m)
+    if not max(article, main) or max(article, main) < MARKED * sum(n for *_, n in sure):
+        return ""
+    return "article" if article >= main_only else "main"
+
+
+class Wrapper:
+    """What a host's pages have in common: reference skeleton, template slots, and how markup is to be read."""
+
+    def __init__(self, reference: list[tuple[int, str, int, int]], template: set[int], sizes: dict[int, int]):
+        self.reference, self.template = reference, template
+        paths = _paths(reference)
+        varying = [(paths[i], n) for i, n in sizes.items() if i not in template]
+        self.lifted = outweighing(varying)
+        self.kind = marked(varying, self.lifted)
+
+
+def extract(page: str, wrapper: Wrapper | None = None) -> str:
+    """The page's main text; ``wrapper``: that of its host."""
     root = parse(page)
-    starts = _articles(root)
+    paths = _paths(own := fold(root))
     gone: set[tuple[str, ...]] = set()
-    if not starts and reference and template:
-        paths = _paths(own := fold(root))
-        gone = {paths[j] for i, j in align(reference, own) if i in template}
+    lifted: set[tuple[str, ...]] = set()
+    if wrapper:
+        # a slot that differs on this page isn't the template's text
+        gone = {paths[j] for i, j in align(wrapper.reference, own) if i in wrapper.template and wrapper.reference[i][2] == own[j][2]}
+        lifted = wrapper.lifted
+    varying = [(path, x[3]) for path, x in zip(paths, own) if path not in gone]
+    kind = wrapper.kind if wrapper and any(n for p, n in varying if within(p, wrapper.kind) and not doubts(p, lifted)) else marked(varying, lifted)
+    kept = {p for p, _ in varying if (not kind or within(p, kind)) and not doubts(p, lifted)}
     lines: list[str] = []
     buffer: list[str] = []
 
@@ -239,21 +292,21 @@ def extract(page: str, reference: list[tuple[int, str, int]] | None = None, temp
         buffer.clear()
 
     # explicit stack: entering a node, or the mark that one ends
-    todo: list = [(x, ("#",)) for x in reversed(starts or [root])]
+    todo: list = [(x, ("#",)) for x in [root]]
     while todo:
         x, path = todo.pop()
         if x is None:
             flush()
             continue
         if isinstance(x, str):
-            if path not in gone:
+            if path in kept:
                 buffer.append(x)
             continue
         if x.dead:
             if x.tag in BLOCKS:
                 flush()
             continue
-        here = path if x.tag == "#" or x.tag not in BLOCKS else (*path, x.sign) if gone else path
+        here = path if x.tag == "#" or x.tag not in BLOCKS else (*path, x.sign)
         if x.tag == "br":
             buffer.append(" ")
         if x.tag in BLOCKS:
@@ -264,45 +317,29 @@ def extract(page: str, reference: list[tuple[int, str, int]] | None = None, temp
     return "\n".join(lines)
 
 
-def _articles(root: Node) -> list[Node]:
-    """Outermost article elements, or else main elements, that aren't themselves within something without content."""
-    for kind in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str) or x.dead:
-                continue
-            if x.tag == kind:
-                found.append(x)
-            else:
-                todo.extend(reversed(x.kids))
-        if found:
-            return found
-    return []
-
-
 def _paths(skeleton: list[tuple[int, str, int]]) -> list[tuple[str, ...]]:
     out, path = [], []
-    for depth, sign, _ in skeleton:
+    for depth, sign, *_ in skeleton:
         del path[depth:]
         path.append(sign)
         out.append(tuple(path))
     return out
 
 
-_SKELETON = "array<struct<depth:int,sign:string,text:long>>"
+_SKELETON = "array<struct<depth:int,sign:string,text:long,size:int>>"
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, reference, template): per host with a template, its reference skeleton and the template's slots."""
+    """(host, reference, slots): per host of MIN_PAGES pages, its reference skeleton and, of each of its slots that
+    MIN_PAGES pages have, the number, whether it is template, and the length of its text on all pages."""
     def skeletons(batches):
         for b in slices(batches, 1):
-            made = [[{"depth": d, "sign": s, "text": t} for d, s, t in fold(root)] if not _articles(root := parse(p)) else None for p in b.column(1).to_pylist()]
-            kind = pa.list_(pa.struct([("depth", pa.int32()), ("sign", pa.string()), ("text", pa.int64())]))
+            made = [[{"depth": d, "sign": s, "text": t, "size": n} for d, s, t, n in fold(parse(p))] for p in b.column(1).to_pylist()]
+            kind = pa.list_(pa.struct([("depth", pa.int32()), ("sign", pa.string()), ("text", pa.int64()), ("size", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, kind)], names=["host", "skeleton"])
 
     own = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).where("host <> ''") \
-        .mapInArrow(skeletons, f"host string, skeleton {_SKELETON}").where("skeleton IS NOT NULL")
+        .mapInArrow(skeletons, f"host string, skeleton {_SKELETON}")
     own = stored(own, "skeletons")
     # equal pages say nothing of what varies; the reference is the first by hash, found by partial minima
     distinct = own.groupBy("host", F.xxhash64("skeleton").alias("h")).agg(F.first("skeleton").alias("skeleton"))
@@ -311,19 +348,24 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def aligned(batches):
         for b in batches:
-            hosts, slots, equal = [], [], []
+            hosts, slots, equal, sizes = [], [], [], []
             for host, s, r in zip(*(b.column(i).to_pylist() for i in range(3))):
-                one, other = ([(x["depth"], x["sign"], x["text"]) for x in t] for t in (r, s))
+                one, other = _tuples(r), _tuples(s)
                 for i, j in align(one, other):
                     hosts.append(host)
                     slots.append(i)
                     equal.append(int(one[i][2] == other[j][2] != -1))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int32()), pa.array(equal, pa.int64())], names=["host", "slot", "equal"])
+                    sizes.append(other[j][3])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int32()), pa.array(equal, pa.int64()), pa.array(sizes, pa.int64())], names=["host", "slot", "equal", "size"])
+
+    met = attach(distinct, refs, "host", "pages").select("host", "skeleton", "reference").mapInArrow(aligned, "host string, slot int, equal long, size long")
+    slots = met.groupBy("host", "slot").agg(F.count("*").alias("n"), F.sum("equal").alias("equal"), F.sum("size").alias("size")).where(F.col("n") >= MIN_PAGES) \
+        .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", (F.col("equal") >= CONSTANT * F.col("n")).alias("template"), "size"))).alias("slots"))
+    return stored(slots.join(refs, "host").select("host", "reference", "slots"), "wrappers")
+
 
-    met = attach(distinct, refs, "host", "pages").select("host", "skeleton", "reference").mapInArrow(aligned, "host string, slot int, equal long")
-    fixed = met.groupBy("host", "slot").agg(F.count("*").alias("n"), F.sum("equal").alias("equal")) \
-        .where((F.col("n") >= MIN_PAGES) & (F.col("equal") >= CONSTANT * F.col("n"))).groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template"))
-    return stored(fixed.join(refs, "host").select("host", "reference", "template"), "wrappers")
+def _tuples(skeleton: list[dict]) -> list[tuple[int, str, int, int]]:
+    return [(x["depth"], x["sign"], x["text"], x["size"]) for x in skeleton]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -338,12 +380,18 @@ def main_text(pages: DataFrame) -> DataFrame:
         met = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
 
     def run(batches):
+        known: dict[str, Wrapper] = {}
         for b in slices(batches, 2):
             texts = []
-            for page, r, t in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
-                texts.append(extract(page, [(x["depth"], x["sign"], x["text"]) for x in r] if r else None, set(t) if t else None))
+            for i, (page, host) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                if host not in known and b.column(4)[i].is_valid:
+                    found = b.column(5)[i].as_py()
+                    known[host] = Wrapper(_tuples(b.column(4)[i].as_py()), {x["slot"] for x in found if x["template"]}, {x["slot"]: x["size"] for x in found})
+                    if len(known) > 1000:
+                        del known[next(iter(known))]
+                texts.append(extract(page, known.get(host)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = dict(pages.dtypes)["page_id"]
-    out = met.select("page_id", "url", "html", "reference", "template").mapInArrow(run, f"page_id {kind}, url string, text string")
+    out = met.select("page_id", "url", "html", "host", "reference", "slots").mapInArrow(run, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
