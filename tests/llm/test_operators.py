@@ -233,3 +233,13 @@ def test_stem_counts_only_when_repeated():
     assert model.hits("one zorkel met a mild zork") == set()  # the stem itself is no word that continues it
     assert model.hits("") == set() and model.hits("Loser!") == {"loser"}
     assert _related("zork+2", "zorkel") and _related("zork+2", "zor+3") and not _related("idiot", "idiots")
+
+
+def test_disguised_stems():
+    for lexicon in ({"zork+2": 0.9}, {"zork+2": 0.9, "bad": 0.9}):  # stems alone, and words shorter than what begins with a stem
+        model = toxicity.Restorer({}, lexicon)
+        for text in ("z0rkel z0rkan", "z.o.r.k.e.l zorkan", "a zorkelissimo and z0rkelissimo", "z o r k e l so z 0 r k a n", "z o r k e l z o r k a n"):
+            assert model.hits(text) == {"zork+2"}, text
+        for text in ("z0rkel", "z o r k z o r", "z0rk z0rk", "12.5.2024 http://x.example/z0rkel"):
+            assert not model.hits(text), text
+    assert toxicity.Restorer({}, {"zo": 0.9}).hits("z . o") == {"zo"}

@@ -2,8 +2,8 @@
 
 A writer who hides a word swaps letters for look-alikes (1d10t), spaces it out (i d i o t, i.d.i.o.t) or repeats
 letters (idiiiot). A suspicious token becomes a lattice of the letters each character may stand for; Viterbi finds
-the likeliest letters under a trigram model of characters, counted over the words of all documents. The restored
-words are looked up in a lexicon learnt from labelled rows: words whose texts are mostly toxic, beyond chance, and
+the likeliest letters under a trigram model of characters, counted over the words of all documents. Lattices that no
+path takes to an entry of the lexicon aren't decoded, as nothing could come of them. The restored words are looked up in a lexicon learnt from labelled rows: words whose texts are mostly toxic, beyond chance, and
 stems, that is, beginnings that several words of a text must share (a language may build insults on a stem, each word
 too rare to be learnt by itself). The score is 1 - (1 - p0) * product(1 - p_entry) over the lexicon entries a text
 holds, with p_entry the share of toxic texts among labelled texts with the entry.
@@ -103,6 +103,23 @@ def _trigrams(words: Counter, grams: Counter) -> None:
             grams[(a * SIZE + b) * SIZE + EDGE] += n
 
 
+def _trie(words) -> tuple[list[dict[int, int]], list[int], set[int]]:
+    """(children by letter, own letter, ends) of the nodes; the root is 0. Words with letters outside the model, which
+    are never restored, are left out."""
+    kids, last, ends = [{}], [-1], set()
+    for w in words:
+        if all(c in INDEX for c in w):
+            at = 0
+            for k in map(INDEX.get, w):
+                if k not in kids[at]:
+                    kids[at][k] = len(kids)
+                    kids.append({})
+                    last.append(k)
+                at = kids[at][k]
+            ends.add(at)
+    return kids, last, ends
+
+
 class Restorer:
     """Viterbi decoder of character lattices; its table has SIZE^3 entries."""
 
@@ -128,7 +145,7 @@ class Restorer:
         # looked up with repetitions taken out, as the channel can't tell an added letter from a doubled one
         self.plain = {_RUNS.sub(r"\1", w): w for w in sorted(words)}
         self.lengths = sorted({len(w) for w in self.plain})
-        self.longest = max(self.lengths, default=0)
+        self.tries = _trie(self.plain), _trie(self.stems)
         self.cache: dict[str, tuple[str, ...]] = {}
 
     def lattice(self, word: str) -> list[list[tuple[int | None, float]]]:
@@ -174,9 +191,26 @@ class Restorer:
             letters.append(LETTERS[k] if k < OTHER else "?")
         return "".join(reversed(letters))
 
-    def shortest(self, word: str) -> int:
-        """Fewest letters that ``word`` can stand for: separators and repetitions can go, others can't."""
-        return sum(c not in SEPARATORS and c not in WILD for c in _RUNS.sub(r"\1", word))
+    def possible(self, word: str, anywhere: bool = False) -> bool:
+        """Whether a path of the lattice of ``word`` spells a word or begins with a stem; ``anywhere``: or holds one."""
+        own = [({k for k, _ in x if k is not None}, any(k is None for k, _ in x)) for x in self.lattice(word)]
+        for stems, (kids, last, ends) in enumerate(self.tries):
+            now = {0}
+            for letters, nothing in own:
+                new = set(now) if nothing else set()
+                for at in now:
+                    new.update(to for k, to in kids[at].items() if k in letters)
+                    if not stems and last[at] in letters:  # a repetition, which is taken out before the look-up
+                        new.add(at)
+                if (stems or anywhere) and not ends.isdisjoint(new):
+                    return True
+                if anywhere:
+                    new.add(0)
+                if not (now := new):
+                    break
+            if not stems and not ends.isdisjoint(now):
+                return True
+        return False
 
     def _stems(self, word: str) -> tuple[str, ...]:
         return tuple(f"{p}+" for k in STEM if k < len(word) and (p := word[:k]) in self.stems)
@@ -186,15 +220,14 @@ class Restorer:
         if (got := self.cache.get(token)) is None:
             w = core(token)
             got = (w,) if w in self.lexicon else ()
-            if not got and w and suspicious(w) and self.shortest(w) <= self.longest:
-                for form in dict.fromkeys((w, token.strip(".,;:?…\"'«»“”‘’[]{}"))):
-                    if (r := _RUNS.sub(r"\1", restored := self.decode(form))) in self.plain:
-                        got = (self.plain[r],)
-                        break
-                    if got := self._stems(restored):
-                        break
-            elif w and not suspicious(w):
+            if w and not suspicious(w):
                 got += self._stems(w)
+            elif w and not got:
+                for form in dict.fromkeys((w, token.strip(".,;:?…\"'«»“”‘’[]{}"))):
+                    if self.possible(form):
+                        r = _RUNS.sub(r"\1", restored := self.decode(form))
+                        if got := (*([self.plain[r]] if r in self.plain else ()), *self._stems(restored)):
+                            break
             if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[token] = got
@@ -209,11 +242,15 @@ class Restorer:
                     stems[w[:-1]] += n
                 else:
                     out.add(w)
-        out.update(f"{p}+{self.stems[p]}" for p, n in stems.items() if n >= self.stems[p])
         for m in _SPACED.finditer(low):  # letters set apart: the words may start and end anywhere in the run
-            run = _RUNS.sub(r"\1", self.decode("".join(m[0].split())))
-            for n in self.lengths:
-                out.update(self.plain[w] for i in range(len(run) - n + 1) if (w := run[i : i + n]) in self.plain and n > 2)
+            if not self.possible(apart := "".join(m[0].split()), anywhere=True):
+                continue
+            run = _RUNS.sub(r"\1", restored := self.decode(apart))
+            for n in self.lengths:  # one or two letters would be met by chance within a run
+                out.update(self.plain[w] for i in range(len(run) - n + 1) if (w := run[i : i + n]) in self.plain and (n > 2 or n == len(run)))
+            for p in self.stems:
+                stems[p] += restored[:-1].count(p)
+        out.update(f"{p}+{self.stems[p]}" for p, n in stems.items() if n >= self.stems[p])
         return out
 
     def __getstate__(self):
