@@ -243,3 +243,44 @@ def test_disguised_stems():
         for text in ("z0rkel", "z o r k z o r", "z0rk z0rk", "12.5.2024 http://x.example/z0rkel"):
             assert not model.hits(text), text
     assert toxicity.Restorer({}, {"zo": 0.9}).hits("z . o") == {"zo"}
+
+
+def test_alphabetic_disguises():
+    model = toxicity.Restorer({}, {"idiot": 0.9, "loser": 0.9, "zork+2": 0.9})
+    for text in ("idiiot", "looser", "iiddiioott", "idi\u043et", "l\u043es\u0435r!", "\uff49\uff44\uff49\uff4f\uff54", "zorrkel z\u043erkan"):
+        assert model.hits(text), text
+    for text in ("idiom lotter", "\u043e\u0440\u0435\u0445", "zoorkel", "letters add up"):
+        assert not model.hits(text), text
+
+
+@pytest.mark.parametrize("word", ["f**k", "**", "i*i**", "a1*!", "*#*1"])
+def test_decoder_finds_the_best_path(word, monkeypatch):
+    import itertools
+
+    monkeypatch.setattr(toxicity, "LETTERS", "abcfikl")  # few enough for all paths
+    rnd = np.random.default_rng(7)
+    model = toxicity.Restorer({}, {})
+    model.logp = np.log(rnd.dirichlet(np.full(toxicity.SIZE, 0.05), (toxicity.SIZE, toxicity.SIZE)) + 1e-9).astype(np.float32)
+
+    def score(path):
+        a, b, s = toxicity.EDGE, toxicity.EDGE, 0.0
+        for k, cost in path:
+            s += cost
+            if k is not None:
+                s += float(model.logp[a, b, k])
+                a, b = b, k
+        return s + float(model.logp[a, b, toxicity.EDGE])
+
+    names = "abcdefghijklmnopqrstuvwxyz"
+    best = max(itertools.product(*model.lattice(word)), key=score)
+    want = "".join((names[k] if k < len(names) else "?") for k, _ in best if k is not None)
+    monkeypatch.undo()
+    for dense in (0, 10**9):
+        monkeypatch.setattr(toxicity, "DENSE", dense)
+        model.lattice = lambda w, own=[list(x) for x in small_lattice(model, word)]: own
+        assert model.decode(word) == want
+
+
+def small_lattice(model, word):
+    """The lattice whose wildcards stand for a to g only."""
+    return [[(k, c) for k, c in own if k is None or c != -4.0 or k < 7] for own in toxicity.Restorer.lattice(model, word)]

@@ -1,7 +1,7 @@
 """Toxicity by a noisy channel: restore disguised words, then score what they say.
 
-A writer who hides a word swaps letters for look-alikes (1d10t), spaces it out (i d i o t, i.d.i.o.t) or repeats
-letters (idiiiot). A suspicious token becomes a lattice of the letters each character may stand for; Viterbi finds
+A writer who hides a word swaps letters for look-alikes (1d10t, or letters of another script), spaces it out
+(i d i o t, i.d.i.o.t) or repeats letters (idiiot, iiddiioott). Such a token becomes a lattice of the letters each character may stand for; Viterbi finds
 the likeliest letters under a trigram model of characters, counted over the words of all documents. Lattices that no
 path takes to an entry of the lexicon aren't decoded, as nothing could come of them. The restored words are looked up in a lexicon learnt from labelled rows: words whose texts are mostly toxic, beyond chance, and
 stems, that is, beginnings that several words of a text must share (a language may build insults on a stem, each word
@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,9 @@ CERTAINTY = 3
 #: Share of disguised words that the channel takes to be lexicon words, whatever their share of the corpus.
 LEXICON_SHARE = 0.1
 
+#: Steps of Viterbi with more transitions than this are done as arrays, with the same result.
+DENSE = 2048
+
 #: Letters of the model: a-z and the letters of Latin-1, then "other" and the word's edge. Bounds the trigram table.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 INDEX = {c: i for i, c in enumerate(LETTERS)}
@@ -50,10 +55,12 @@ LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
+LOOK_ALIKES |= zip("авеікмнпорстухѕјһԁɡɩ" "αβεικνορτυχγη", "abeikmhnopctyxsjhdgi" "abeikvoptuxyn")
 SEPARATORS = ".-_·'’~^:,;/\\"
 WILD = "*#"
 
 _RUN = re.compile(r"(.)\1\1")
+_DOUBLED = re.compile(r"(.)\1")
 _RUNS = re.compile(r"(.)\1+")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _TAIL, _HEAD = " .,;:!?…*#%&$)]}\"'»”’", "\"'([{«“‘"
@@ -68,6 +75,21 @@ def suspicious(word: str) -> bool:
     return not word.isalpha() or _RUN.search(word) is not None
 
 
+@lru_cache(maxsize=65536)
+def stands_for(c: str) -> str:
+    """Letters that a character which is none of the model's may stand for: look-alikes, other forms, added marks."""
+    if c in INDEX:
+        return ""
+    plain = unicodedata.normalize("NFKD", c)[:1].lower()
+    return LOOK_ALIKES.get(c) or LOOK_ALIKES.get(plain) or (plain if plain in INDEX else "")
+
+
+def mixed(word: str) -> bool:
+    """Whether letters of another script or form stand among letters of the model, or all are forms of them."""
+    odd = [c for c in word if c not in INDEX and c.isalpha()]
+    return any(map(stands_for, odd)) and (len(odd) < len(word) or any(unicodedata.normalize("NFKD", c)[:1].lower() in INDEX for c in odd))
+
+
 def entries(words: list[str]) -> set[str]:
     """What a lexicon may hold of a text's plain words: each word, and "stem+n" where n or more words share a stem."""
     shared = Counter(w[:k] for w in words for k in STEM if k < len(w))
@@ -154,8 +176,8 @@ class Restorer:
         for c in word:
             if c in INDEX:
                 own = [(INDEX[c], -0.05)]
-            elif c in LOOK_ALIKES:
-                own = [(INDEX[x], -0.7) for x in LOOK_ALIKES[c]] + [(OTHER, -6.0)]
+            elif letters := stands_for(c):
+                own = [(INDEX[x], -0.7) for x in letters] + [(OTHER, -6.0)]
             elif c in WILD:
                 own = [(None, -1.0)] + [(k, -4.0) for k in range(len(LETTERS))]
             elif c in SEPARATORS or c.isspace():
@@ -169,9 +191,13 @@ class Restorer:
         return out
 
     def decode(self, word: str) -> str:
+        """The letters of the best path: exact, over all states of two letters, SIZE^2 at most."""
         logp = self.logp
         states: dict[tuple[int, int], tuple[float, tuple]] = {(EDGE, EDGE): (0.0, ())}
         for own in self.lattice(word):
+            if len(states) * len(own) > DENSE:
+                states = self._step(states, own)
+                continue
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (s, path) in states.items():
                 for k, cost in own:
@@ -181,8 +207,6 @@ class Restorer:
                         key, score, way = (b, k), s + cost + float(logp[a, b, k]), (path, k)
                     if key not in new or score > new[key][0]:
                         new[key] = (score, way)
-            if len(new) > 48:
-                new = dict(sorted(new.items(), key=lambda x: -x[1][0])[:48])
             states = new
         _, path = max(((s + float(logp[a, b, EDGE]), way) for (a, b), (s, way) in states.items()), key=lambda x: x[0])
         letters = []
@@ -191,6 +215,24 @@ class Restorer:
             letters.append(LETTERS[k] if k < OTHER else "?")
         return "".join(reversed(letters))
 
+    def _step(self, states: dict[tuple[int, int], tuple[float, tuple]], own: list[tuple[int | None, float]]) -> dict[tuple[int, int], tuple[float, tuple]]:
+        """A step of ``decode`` for many states at once."""
+        now, costs = np.full((SIZE, SIZE), -np.inf), np.full(SIZE, -np.inf)
+        for at, (s, _) in states.items():
+            now[at] = s
+        for k, cost in own:
+            if k is not None:
+                costs[k] = max(costs[k], cost)
+        scores = now[:, :, None] + self.logp
+        first = scores.argmax(axis=0)
+        best = np.take_along_axis(scores, first[None], axis=0)[0] + costs
+        skip = max((cost for k, cost in own if k is None), default=-np.inf)
+        new = {at: (s + skip, path) for at, (s, path) in states.items()} if skip > -np.inf else {}
+        for b, k in np.argwhere(best > -np.inf).tolist():
+            if (b, k) not in new or best[b, k] > new[b, k][0]:
+                new[b, k] = (float(best[b, k]), (states[int(first[b, k]), b][1], k))
+        return new
+
     def possible(self, word: str, anywhere: bool = False) -> bool:
         """Whether a path of the lattice of ``word`` spells a word or begins with a stem; ``anywhere``: or holds one."""
         own = [({k for k, _ in x if k is not None}, any(k is None for k, _ in x)) for x in self.lattice(word)]
@@ -220,9 +262,13 @@ class Restorer:
         if (got := self.cache.get(token)) is None:
             w = core(token)
             got = (w,) if w in self.lexicon else ()
-            if w and not suspicious(w):
+            odd = suspicious(w)
+            if w and not odd:
                 got += self._stems(w)
-            elif w and not got:
+            doubled = _DOUBLED.search(w) is not None
+            if doubled and not got and w.isalpha() and (r := _RUNS.sub(r"\1", w)) in self.plain:
+                got = (self.plain[r],)  # decoding adds no letter and takes only repetitions out
+            elif w and not got and (odd or doubled or not w.isascii() and mixed(w)):
                 for form in dict.fromkeys((w, token.strip(".,;:?…\"'«»“”‘’[]{}"))):
                     if self.possible(form):
                         r = _RUNS.sub(r"\1", restored := self.decode(form))
