@@ -219,6 +219,19 @@ def test_recall_and_odd_vectors(spark, small):
     assert neighbours.nearest(spark.createDataFrame(rows[:0], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_rows_that_repeat_an_id_take_one_place(spark):
+    rnd = np.random.default_rng(11)
+    q = rnd.normal(size=16)
+    rows = [(100, q.tolist())] + [(7, (q + 1e-3 * rnd.normal(size=16)).tolist()) for _ in range(25)] + [(i, (q + 0.01 * i * rnd.normal(size=16)).tolist()) for i in range(20, 45)]
+    rows += rows[-25:] * 3
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 100).orderBy("rank").collect()
+    least = {}
+    for i, v in rows[1:]:
+        least[i] = min(least.get(i, np.inf), float(np.sqrt(((np.array(v) - q) ** 2).sum())))
+    want = sorted((s, i) for i, s in least.items())[:10]
+    assert [r.vec_id for r in got] == [i for _, i in want] and np.allclose([r.score for r in got], [s for s, _ in want])
+
+
 def test_hadamard_is_a_rotation():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(neighbours.hadamard(x), axis=1), np.linalg.norm(x, axis=1))

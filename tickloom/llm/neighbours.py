@@ -82,10 +82,10 @@ def _hashed(vectors: DataFrame, probes: int) -> DataFrame:
 
 
 def _ranked(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): of each (dim, cell, part), the k rows of ``index`` nearest to each of its queries.
+    """(query_id, vec_id, score): of each (dim, cell, part), the k ids of ``index`` nearest to each of its queries.
 
-    Both have dim, cell, part, id, vec. Rows of a part stream past in order, index first, so a task holds one part
-    of the index and one batch of queries.
+    Rows of one id are merged, at their smallest distance, before the nearest are taken. Both have dim, cell, part, id,
+    vec. Rows of a part stream past in order, index first, so a task holds one part of the index and one batch of queries.
     """
     both = index.withColumn("asks", F.lit(0)).unionByName(queries.withColumn("asks", F.lit(1)))
     rows = both.repartition("dim", "cell", "part").sortWithinPartitions("dim", "cell", "part", "asks").select("dim", "cell", "part", "asks", "id", "vec")
@@ -105,9 +105,11 @@ def _ranked(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     blocks.append(v)
                 elif ids:
                     if held is None:
-                        held = (np.array(ids), np.stack(blocks))
+                        rows_of = np.argsort(every := np.array(ids), kind="stable")
+                        names, starts = np.unique(every[rows_of], return_index=True)
+                        held = (names, np.stack(blocks)[rows_of], starts)
                     q = b.column(4)[i].as_py()
-                    far = np.sqrt(((held[1] - v) ** 2).sum(axis=1))
+                    far = np.minimum.reduceat(np.sqrt(((held[1] - v) ** 2).sum(axis=1)), held[2])
                     far[held[0] == q] = np.inf
                     near = np.flatnonzero(far <= np.partition(far, k - 1)[k - 1]) if len(far) > k else np.arange(len(far))
                     near = near[np.lexsort((held[0][near], far[near]))][: k]
@@ -131,7 +133,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, probes: int = PRO
     indexed, asked = _hashed(rows, 1), _hashed(rows.where("asks"), probes)
     # at most TABLES * 2 * size cells a vector length: a bounded broadcast
     per = F.broadcast(indexed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
-    index = indexed.join(per, ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "vec")
+    index = indexed.join(per, ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("id", "vec"), F.col("parts")).cast("int").alias("part"), "id", "vec")
     queries = asked.join(per, ["dim", "cell"]).select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "vec")
     found = stored(_ranked(index, queries, k), "found")
     counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
@@ -142,7 +144,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, probes: int = PRO
     # the exact way for the rest: blocks of all vectors, each of which those queries visit
     blocks = max(1, -(-rows.count() // PART))
     dim = F.size("vec").alias("dim")
-    every = rows.select(dim, F.lit(-1).cast("long").alias("cell"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("part"), "id", "vec")
+    every = rows.select(dim, F.lit(-1).cast("long").alias("cell"), F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)).cast("int").alias("part"), "id", "vec")
     asking = few.select(dim, F.lit(-1).cast("long").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "id", "vec")
     more = _ranked(every, asking, k)
     return _best(found.unionByName(more).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k)
