@@ -50,3 +50,27 @@ def test_stages(spark, small):
         ids = other.encode_ordinary(texts[r.doc_id])
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_rows_that_share_an_id(spark):
+    from pyspark.sql import functions as F
+    from tickloom.llm.jaccard_join import drop_near_copies
+
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*base, f"x{k}"])
+    other = lambda k: " ".join(f"o{k}-{i}" for i in range(40))
+    rows = [(1, near(1), "a"), (1, near(2), "a"), (1, other(1), "a"), (2, near(3), "a"), (2, other(2), "b"), (2, other(2), "b"),
+            (None, near(4), "a"), (None, other(3), "b"), (None, other(3) + " end", "b"), (5, "", "a"), (5, "", "a"), (5, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(str, (tuple(r) for r in drop_near_copies(docs, Join(words=5, num=4, den=5)).collect())))
+    ones = [x for x in got if "w59" in x]
+    assert len(ones) == 1 and ones[0].startswith("(1,")
+    assert [sum(f"o{k}-39" in x for x in got) for k in (1, 2, 3)] == [1, 1, 1] and len(got) == 4 + 3
+
+    rows = [(7, "a b c d", "s"), (7, "e f", "s"), (7, "g h", "s"), (7, "g h", "s"), (None, "i j k", "t"), (None, "l", "t"), (8, "", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    own = mixing._taken(docs.withColumn("_row", F.col("text").cast("binary")), share=0.5).collect()
+    mixed = [tuple(r) for r in mixing.mixed_documents(docs, share=0.5).collect()]
+    words = sum(len(t.split()) for _, t, _ in mixed)
+    assert abs(words - sum(r.taken for r in own)) <= 4 and (8, "", "t") in mixed
+    assert mixing.mixed_documents(docs, share=2.0).count() == 2 * 6 + 1

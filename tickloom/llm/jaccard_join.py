@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import attach, components, slices, stored
+from tickloom.llm.common import attach, components, row_key, slices, stored
 
 GROUPS = 128
 #: Members of a leaf compared in one block.
@@ -150,7 +150,7 @@ def leaf_keys(s: np.ndarray, leaves: Leaves) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, join: Join) -> DataFrame:
-    """Per document: doc_id, n_shingles, digest and node (null without shingles), point, leaves.
+    """Per document: doc_id, n_shingles, digest and node (null without shingles), point, leaves, and _row if ``docs`` has it.
 
     Leaves are given once for each set that a task meets, so copies, however many, fill no leaf.
     """
@@ -173,10 +173,12 @@ def sketches(docs: DataFrame, join: Join) -> DataFrame:
                 pa.array(nodes, pa.int64()),
                 pa.array([point(s).astype("<i4").tobytes() if f else None for s, f in zip(sets, full)], pa.binary()),
                 pa.array([once(s, k) if k is not None else None for s, k in zip(sets, nodes)], pa.list_(pa.int64())),
-            ], names=["doc_id", "n_shingles", "digest", "node", "point", "leaves"])
+                *b.columns[2:],
+            ], names=["doc_id", "n_shingles", "digest", "node", "point", "leaves", *more])
 
+    more = [c for c in ("_row",) if c in docs.columns]
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, node long, point binary, leaves array<long>")
+    return docs.select("doc_id", "text", *more).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, node long, point binary, leaves array<long>" + ", _row binary" * len(more))
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, join: Join) -> DataFrame:
@@ -335,6 +337,27 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest doc_id; all columns."""
-    kept = near_duplicates(docs, join).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """``docs`` with one row of each group, that with the smallest doc_id, null ids last; all columns.
+
+    Rows that share an id are told apart by their texts. Rows without shingles are in no group and stay.
+    """
+    cols = docs.columns
+    marked = docs.withColumn("_row", row_key(F.col("text")))
+    all_docs, linked = link_classes(marked, join)
+    texts = all_docs.where("node IS NOT NULL").groupBy("node", "doc_id", "_row").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row", "n"))
+    classes = texts.groupBy("node").agg(best.alias("best")).join(linked, "node", "left")
+    chosen = classes.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("best").alias("best"))
+    none = all_docs.where("node IS NULL").select("doc_id", "_row", F.lit(False)).distinct()
+    kept = stored(chosen.select("best.doc_id", "best._row", F.col("best.n") > 1).union(none).toDF("_id", "_key", "_several"), "kept")
+
+    def of(keys: DataFrame) -> DataFrame:
+        return marked.join(keys.select("_id", "_key"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")), "left_semi")
+
+    several = kept.where("_several")
+    out = of(kept.where("NOT _several")).select(*cols)
+    if several.isEmpty():
+        return out
+    # rows that repeat an id and its text
+    one = of(several).groupBy("doc_id", "_row").agg(F.min(F.struct(*cols)).alias("x"))
+    return out.unionByName(one.select(*[F.col("x")[c].alias(c) for c in cols]))

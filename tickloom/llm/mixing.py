@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import attach, n_words, stored
+from tickloom.llm.common import attach, n_words, row_key, stored
 
 #: x_n = frac(n * GOLDEN / 2^31): an odd multiplier near the golden section visits every point once in 2^31 slots.
 GOLDEN, UNIT = 1327217885, 1 << 31
@@ -66,7 +66,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     slot order they are the mix. documents: every row's doc_id, source, start, size, source_size, target and quota
     (whole words its source gives).
     """
-    slim = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("key")), "sizes")
+    more = [c for c in ("_row",) if c in docs.columns]
+    slim = stored(docs.select("doc_id", "source", *more, n_words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("key")), "sizes")
     per = stored(targets(slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), weights, share, epochs)
                  .withColumn("quota", F.floor("target").cast("long"))
                  .withColumn("sid", F.xxhash64(F.col("source").isNull(), "source")), "targets")
@@ -75,9 +76,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     buckets = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     placed = stored(rows.join(buckets, ["sid", "bucket"]).select(
-        "doc_id", "source", "sid", "size", "source_size", "target", "quota",
+        "doc_id", "source", *more, "sid", "size", "source_size", "target", "quota",
         (F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("start")), "placed")
 
     # the unrolled stream of a source repeats its documents once an epoch; block b covers words b * block and on
@@ -122,20 +123,36 @@ def schedule(per: DataFrame, block: int) -> DataFrame:
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """Every row of ``docs`` as doc_id, size, source_size, target, taken."""
+    return _taken(docs, **options).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _taken(docs: DataFrame, **options) -> DataFrame:
     pieces, placed = mix(docs, **options)
     got = pieces.groupBy("source", "start", "doc_id", "size").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken")) \
         .withColumnsRenamed({"source": "s", "start": "p", "doc_id": "d", "size": "z"})
     hit = F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z")) & (F.col("size") > 0)
-    return placed.join(got, hit, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return placed.join(got, hit, "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as often as the mix takes them, whole: a row is repeated taken / size times, rounded half up.
 
-    Only the one document of a source at which its target ends can be rounded. Documents without words stay once.
+    Only the one document of a source at which its target ends can be rounded. Documents without words stay once. Rows
+    that share an id are told apart by source and text; of rows that repeat all three, each has its own count.
     """
     cols = docs.columns
-    got = taken(docs, **options).select(F.col("doc_id").alias("_id"), F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_times"))
-    got = got.groupBy("_id").agg(F.max("_times").alias("_times"))
-    return docs.join(got, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_times > 0") \
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*cols)
+    marked = docs.withColumn("_row", row_key(F.col("text")))
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    got = _taken(marked, **options).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("_row").alias("_key")) \
+        .agg(F.sort_array(F.collect_list(times)).alias("_each"))
+    got = stored(got, "times")
+
+    def of(keys: DataFrame) -> DataFrame:
+        return marked.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_row") == F.col("_key")))
+
+    out = of(got.where("size(_each) = 1")).withColumn("_times", F.col("_each")[0])
+    several = got.where("size(_each) > 1")
+    if not several.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("_id", "_from", "_key").orderBy(*cols))
+        out = out.unionByName(of(several).withColumn("_nth", nth).withColumn("_times", F.col("_each")[F.col("_nth") - 1]).drop("_nth"))
+    return out.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*cols)
