@@ -74,3 +74,77 @@ def test_rows_that_share_an_id(spark):
     words = sum(len(t.split()) for _, t, _ in mixed)
     assert abs(words - sum(r.taken for r in own)) <= 4 and (8, "", "t") in mixed
     assert mixing.mixed_documents(docs, share=2.0).count() == 2 * 6 + 1
+
+
+def test_mix_against_plain_python(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source")
+    rows = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.collect()]
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is not None, (s or "").encode()))
+    sizes = {s: sum(n for _, x, n in rows if x == s) for s in names}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    target, rest, free = {}, 1.5 * sum(sizes.values()), list(names)
+    while free:  # a source can give its words twice; what it can't give goes to the others by weight
+        full = [s for s in free if weight[s] * rest / sum(weight[x] for x in free) > 2 * sizes[s]]
+        if not full:
+            target |= {s: weight[s] * rest / sum(weight[x] for x in free) for s in free}
+            break
+        target |= {s: 2.0 * sizes[s] for s in full}
+        rest -= sum(target[s] for s in full)
+        free = [s for s in free if s not in full]
+    want = []
+    for s in names:
+        start, quota = 0, int(np.floor(target[s] + 1e-9))
+        for d, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: (int(hashlib.md5(str(r[0]).encode()).hexdigest()[:15], 16), r[0])):
+            took = sum(max(0, min(quota, start + e * sizes[s] + n) - start - e * sizes[s]) for e in (0, 1))
+            want += [d] * (1 if n == 0 else int(np.floor(took / n + 0.5)))
+            start += n
+    got = [r.doc_id for r in dict(corpus_pipeline.STAGES)["mix_sources"](spark, docs, small).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_toxic_rows_against_all_paths(spark, tmp_path):
+    import itertools
+    import random
+
+    rnd = random.Random(4)
+    fill = ["".join(rnd.choice("bcdfghkmnprtv") + rnd.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    rows = [(i, " ".join(rnd.choices(fill, k=8) + ([rnd.choice(["idiot", "loser"])] if i % 3 == 0 else []))) for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(180)], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    lexicon, p0 = toxicity.learn(docs, labels)
+    words = sorted(w for w in lexicon if "+" not in w and w.isascii() and 4 <= len(w) <= 9)[:4]
+    assert {"idiot", "loser"} <= set(words) and not any("+" in w for w in lexicon)
+    swaps, letters = {"i": "1", "o": "0", "e": "3", "a": "4", "s": "5", "t": "7"}, {"1": "il", "0": "o", "3": "e", "4": "a", "5": "s", "7": "t"}
+    own = [x for w in words for x in (w, "".join(swaps.get(c, c) for c in w), ".".join(w), w[0] + w, w[:2] + "17" + w[2:])] + ["mild", "12.50", "a-b-c"]
+    every = docs.unionByName(spark.createDataFrame([(10**6 + i, f"so {x} then") for i, x in enumerate(own)], "doc_id long, text string"))
+    model = toxicity.fit(every, labels).value[0]
+    assert model.lexicon == lexicon
+
+    def restored(token):
+        """The best of all paths, spelled out."""
+        ways, before = [], ""
+        for c in token:
+            way = [(x, -0.7) for x in letters[c]] + [("?", -6.0)] if c in letters else [("", -0.05)] if c in ".-" else [(c if c.isalpha() else "?", -0.05 if c.isalpha() else -0.1)]
+            ways.append(way + [("", -0.5)] * (c == before))
+            before = c
+
+        def score(path):
+            a, b, s = toxicity.EDGE, toxicity.EDGE, 0.0
+            for c, cost in path:
+                s += cost
+                if c:
+                    k = toxicity.INDEX.get(c, toxicity.OTHER)
+                    s, a, b = s + float(model.logp[a, b, k]), b, k
+            return s + float(model.logp[a, b, toxicity.EDGE])
+
+        return "".join(c for c, _ in max(itertools.product(*ways), key=score))
+
+    once = lambda w: re.sub(r"(.)\1+", r"\1", w)
+    found = lambda x: [w for w in lexicon if "+" not in w and (w == x or (not x.isalpha() or re.search(r"(.)\1", x)) and once(w) == once(restored(x)))]
+    toxic = {10**6 + i for i, x in enumerate(own) if 1 - (1 - p0) * np.prod([1 - lexicon[w] for w in found(x)]) >= 0.5}
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, every, str(tmp_path)).collect()}
+    assert toxic and {i for i in range(10**6, 10**6 + len(own)) if i not in kept} == toxic
+    for i, text in rows:
+        odd = 1 - (1 - p0) * np.prod([1 - lexicon[w] for w in {w for t in text.split() for w in found(t)}]) >= 0.5
+        assert odd == (i % 3 == 0) == (i not in kept)
