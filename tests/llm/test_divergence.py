@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tickloom.llm import divergence
+from tickloom.llm import common, divergence
 
 SCHEMA = "doc_id long, text string, lang string, source string, n long, row int, p double"
 
@@ -62,11 +62,10 @@ def test_more_sources_than_a_band_and_more_terms_than_a_run(spark):
     assert audited(spark, rows, 1, 5) == by_hand(rows, 1, 5)
 
 
-def test_pieces_end_between_terms(monkeypatch):
-    monkeypatch.setattr(divergence, "PIECE", 7)
+def test_pieces_end_between_terms():
     text = "One twothreefour  ÄÖÜßé 12ab".encode() * 9
-    assert sum(divergence._pieces(text), []) == text.translate(divergence._TERMS).split()
-    assert list(divergence._pieces(b"")) == []
+    assert sum(common.term_lists(text, 7), []) == text.translate(common.TERM_BYTES).split()
+    assert list(common.term_lists(b"")) == []
 
 
 @pytest.mark.parametrize("shape,width", [((20, 20), 256), ((256, 30), 100), ((5, 256), 17), ((1, 1), 1)])

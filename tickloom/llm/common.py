@@ -100,6 +100,22 @@ def slices(batches, column: int | str, limit: int = 1 << 20):
     _release()
 
 
+#: ASCII letters in lower case and all bytes of other characters; every other byte parts terms.
+TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def term_lists(text: bytes, piece: int = 1 << 20):
+    """The terms of a text, runs of ASCII letters and other characters with A-Z in lower case: a list for each ``piece``
+    bytes or, where a piece would end inside a term, a few more."""
+    at = 0
+    while at < len(text):
+        end = at + piece
+        while end < len(text) and TERM_BYTES[text[end]] != 32:
+            end += 1
+        yield text[at:end].translate(TERM_BYTES).split()
+        at = end
+
+
 def gather(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices of the concatenated runs [start, start + len)."""
     ends = np.cumsum(lens)

@@ -28,28 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import attach, slices, stored
+from tickloom.llm.common import attach, slices, stored, term_lists
 
 #: Children of a node per axis, columns and rows of a leaf, of a square; squares of a run that one task sums up.
 K, LEAF, SIDE, RUN = 4, 16, 256, 64
 #: Terms of a language that are numbered in one task, at most about so many.
 NUMBERED = 4096
-#: Distinct (group, term) sums a counting task holds before it passes them on, and bytes of text split at once.
-HELD, PIECE = 100_000, 1 << 20
-
-#: ASCII letters in lower case and all bytes of other characters; every other byte parts terms.
-_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-
-
-def _pieces(text: bytes):
-    """Lists of the terms of a text, ``PIECE`` bytes at a time."""
-    at = 0
-    while at < len(text):
-        end = at + PIECE
-        while end < len(text) and _TERMS[text[end]] != 32:  # no piece ends inside a term
-            end += 1
-        yield text[at:end].translate(_TERMS).split()
-        at = end
+#: Distinct (group, term) sums a counting task holds before it passes them on.
+HELD = 100_000
 
 
 def _counts(batches):
@@ -66,7 +52,7 @@ def _counts(batches):
         for lang, source, text in zip(*(part.column(i).to_pylist() for i in range(3))):
             seen, docs = held.setdefault((lang, source), (Counter(), Counter()))
             before, here = len(seen), set()
-            for terms in _pieces(text or b""):
+            for terms in term_lists(text or b""):
                 seen.update(terms)
                 new = set(terms) - here
                 docs.update(new)

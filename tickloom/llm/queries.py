@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, chat, divergence, exact_dedup, fim, jaccard_join, mixing, neighbours, quality, toxicity, url_filter, wrapper
+from tickloom.llm import bpe, chat, divergence, exact_dedup, fim, jaccard_join, mixing, neighbours, quality, secret_scan, toxicity, url_filter, wrapper
 from tickloom.llm.common import table
 from tickloom.llm.registry import QUERIES, SQL, query
 
@@ -167,3 +167,15 @@ SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DES
 QUALIFY part = 'pair' OR rank <= 10""")
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least=10, top=10)
+
+
+@query("op11_secret_scan")
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    place = lambda s: F.when(s["kind"] == "assign", 0).when(s["kind"] == "access", 1).when(s["kind"] == "hex", 2).otherwise(3)
+    every = F.transform(F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))),
+                        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(kind) for kind in ("assign", "access", "hex")), F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        line(every).alias("spans"), "n_values", "n_strong", F.size("added").cast("long").alias("n_guess"))
