@@ -35,7 +35,7 @@ K, LEAF, SIDE, RUN = 4, 16, 256, 64
 #: Terms of a language that are numbered in one task, at most about so many.
 NUMBERED = 4096
 #: Distinct (group, term) sums a counting task holds before it passes them on.
-HELD = 100_000
+HELD = 250_000
 
 
 def _counts(batches):
@@ -43,10 +43,13 @@ def _counts(batches):
     size = 0
 
     def passed_on():
-        rows = [(*g, t.decode("utf-8", "replace"), n, docs[t]) for g, (seen, docs) in held.items() for t, n in seen.items()]
-        rows += [(*g, "", 0, 0) for g in held]
-        columns = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string()] * 3 + [pa.int64()] * 2)], names=["lang", "source", "term", "n", "docs"])
+        sizes = [len(seen) + 1 for seen, _ in held.values()]
+        each = lambda names: pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        terms = [t for seen, _ in held.values() for t in (b"", *seen)]
+        n = [x for seen, _ in held.values() for x in (0, *seen.values())]
+        docs = [x for seen, docs in held.values() for x in (0, *map(docs.__getitem__, seen))]
+        columns = [each([g[0] for g in held]), each([g[1] for g in held]), pa.array(terms, pa.binary()).cast(pa.string(), safe=False), pa.array(n, pa.int64()), pa.array(docs, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
     for part in slices(batches, 2):
         for lang, source, text in zip(*(part.column(i).to_pylist() for i in range(3))):
