@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions import codes, orders as O, scalar as S
 from tickloom.operators.asof import asof_join
-from tickloom.operators.series import CODE, DT, running
+from tickloom.operators.series import CODE, DT, bucket_of, running
+from tickloom.session import stored
 
 
 def weighted_pick(
@@ -141,34 +142,55 @@ def cash_flows(trades: DataFrame, rate_pct: float, minimum: float, stamp_pct: fl
     return daily.select(*by, DT, (got - paid).alias("flow"))
 
 
-def holding_values(trades: DataFrame, bars: DataFrame, calendar: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., dt, market_value): holdings at each day's last known close, entry day included, exit day excluded.
+def holding_changes(trades: DataFrame, bars: DataFrame, until: DataFrame, by: tuple[str, ...] = (), unit: str = "year") -> DataFrame:
+    """(by..., dt, cents): by how many cents the value of all holdings changes on a day.
 
-    A held code without a bar keeps its last price. Each trade is unrolled into its trade days through the
-    calendar's running numbers, so the joins are equi-joins on day and code.
-    """
-    first_idx = asof_days(trades.where(F.col("vol") > 0), calendar, DT, "_from")
-    end = calendar.agg(F.max("idx").alias("_end"))
-    spans = asof_days(first_idx.withColumn("_exit", F.col("exit_dt")), calendar, "_exit", "_until").join(F.broadcast(end))
-    last = F.when(F.col("exit_dt").isNull(), F.col("_end")).otherwise(F.col("_until") - 1)
-    held = (
-        spans.withColumn("_last", last)
-        .where(F.col("_last") >= F.col("_from"))
-        .select(*by, CODE, "order_price", "vol", F.col(DT).alias("_entry"), F.explode(F.sequence("_from", "_last")).alias("idx"))
-        .join(calendar, "idx")
-        .drop("idx")
-    )
-    closes = bars.select(CODE, F.col(DT).alias("_bar_dt"), F.col("close").alias("_close"))
-    priced = asof_join(held, closes.withColumn("_priced", F.col("_bar_dt")), ["_close", "_priced"], right_on="_bar_dt")
-    # on the entry day a position is marked at its order price, as it is bought after the day's marking
-    value = F.when((F.col("_priced") > F.col("_entry")), F.col("_close")).otherwise(F.col("order_price"))
-    return priced.groupBy(*by, DT).agg(F.sum(S.value_at(value, "vol")).alias("market_value"))
+    A trade counts from its entry day until the day before its exit: at its order price before the first later bar of
+    its code, then at the code's last close. An event sweep: the order-price part is a plus on the entry day and a minus
+    when it ends. The rest is a plus and a minus of volume, netted per code and day; the code's running volume meets its
+    closes in one pass, in which a change of either changes the value. So a bar is seen once per (by..., code) that
+    holds something in the bar's calendar bucket, however many trades are open and however long they stay so. Values
+    are whole cents, so sums don't depend on their order; a code's value is rounded, which for prices in cents is exact.
 
-
-def asof_days(df: DataFrame, calendar: DataFrame, dt: str, out: str) -> DataFrame:
-    """Add the calendar number of a trade day; days outside the calendar give NULL."""
-    numbers = calendar.select(F.col("dt").alias("_cal_dt"), F.col("idx").alias(out))
-    return df.join(numbers, F.col(dt) == F.col("_cal_dt"), "left").drop("_cal_dt")
+    ``until`` has one row with the last day to log, ``_end``. A code and bucket is one unit of work.
+    """
+    held = trades.where((F.col("vol") > 0) & (F.col("exit_dt").isNull() | (F.col("exit_dt") > F.col(DT))))
+    held = held.select(*by, CODE, DT, "order_price", "vol", "exit_dt")
+    closes = bars.where(F.col("close").isNotNull()).select(CODE, DT, "close")
+    first = closes.select(CODE, F.col(DT).alias("_bar_dt"), F.col(DT).alias("_first"))
+    held = stored(asof_join(held, first, ["_first"], right_on="_bar_dt", direction="forward", allow_exact=False, unit=unit), "held")
+
+    entered = F.rint(F.col("order_price") * F.col("vol") * F.lit(100.0)).cast("bigint")
+    left = F.least("_first", "exit_dt")
+    at_order_price = held.select(*by, F.col(DT), entered.alias("cents")).unionByName(
+        held.where(left.isNotNull()).select(*by, left.alias(DT), (-entered).alias("cents")))
+
+    marked = held.where(F.col("_first").isNotNull() & (F.col("exit_dt").isNull() | (F.col("_first") < F.col("exit_dt"))))
+    volume = F.col("vol").cast("double")
+    events = marked.select(*by, CODE, F.col("_first").alias(DT), volume.alias("_volume")).unionByName(
+        marked.where(F.col("exit_dt").isNotNull()).select(*by, CODE, F.col("exit_dt").alias(DT), (-volume).alias("_volume")))
+    # the buckets from a trade's first bar to its end, once per code however many trades they hold
+    key = [*by, CODE, "_bucket"]
+    last = F.coalesce(bucket_of("exit_dt", unit), F.greatest(bucket_of("_end", unit), bucket_of("_first", unit)))
+    spans = marked.join(F.broadcast(until)).select(*by, CODE, bucket_of("_first", unit).alias("_from"), last.alias("_to")).distinct()
+    active = spans.select(*by, CODE, F.explode(F.sequence("_from", "_to")).alias("_bucket")).distinct()
+    prices = closes.withColumn("_bucket", bucket_of(DT, unit)).join(active, [CODE, "_bucket"])
+    points = events.withColumn("_bucket", bucket_of(DT, unit)).unionByName(prices, allowMissingColumns=True)
+    points = points.groupBy(*key, DT).agg(F.sum("_volume").alias("_volume"), F.max("close").alias("close"))
+    points = stored(points.withColumn("_volume", F.coalesce("_volume", F.lit(0.0))), "points")
+
+    # what a bucket starts with: volume and close of the buckets before it
+    ends = points.groupBy(*key).agg(F.sum("_volume").alias("_sum"), F.max_by("close", F.when(F.col("close").isNotNull(), F.col(DT))).alias("_close"))
+    before = Window.partitionBy(*by, CODE).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*key, F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_held"), F.last("_close", ignorenulls=True).over(before).alias("_known"))
+    inside = Window.partitionBy(*key).orderBy(DT)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    value = lambda volume, price: F.coalesce(F.rint(volume * price * F.lit(100.0)).cast("bigint"), F.lit(0).cast("bigint"))
+    now = value(F.col("_held") + F.sum("_volume").over(so_far), F.coalesce(F.last("close", ignorenulls=True).over(so_far), F.col("_known")))
+    swept = points.join(starts, key).withColumn("_now", now)
+    change = F.col("_now") - F.coalesce(F.lag("_now").over(inside), value(F.col("_held"), F.col("_known")))
+    at_close = swept.withColumn("cents", change).where(F.col("cents") != 0).select(*by, DT, "cents")
+    return at_order_price.unionByName(at_close).groupBy(*by, DT).agg(F.sum("cents").alias("cents"))
 
 
 def equity_curve(
@@ -185,25 +207,32 @@ def equity_curve(
     """Capital log per day (and run): free cash after all flows so far plus holdings at the last known close.
 
     ``trades`` holds (by..., code, dt, order_price, vol, exit_dt, exit_price); ``runs`` lists the runs to log, also those
-    that never trade, by default those of the trades. The running sum is over one row
-    per day.
+    that never trade, by default those of the trades. The running sums are over one row
+    per day; those of the holdings are over the days on which their value changes.
     """
+    # read by the flows, the marks and the runs
+    trades = stored(trades.select(*by, CODE, DT, "order_price", "vol", "exit_dt", "exit_price"), "trades")
     flows = cash_flows(trades, rate_pct, minimum, stamp_pct, by)
-    marks = holding_values(trades, bars, calendar, by)
+    end = calendar.agg(F.max("dt").alias("_end"))
+    changes = holding_changes(trades, bars, end, by)
     if by:
         # every run logs every trade day: unroll the day numbers, then look the days up
-        runs = (trades if runs is None else runs).select(*by).distinct().join(F.broadcast(calendar.agg(F.max("idx").alias("_end"))))
+        last = calendar.agg(F.max("idx").alias("_end"))
+        runs = (trades if runs is None else runs).select(*by).distinct().join(F.broadcast(last))
         days = runs.select(*by, F.explode(F.sequence(F.lit(1).cast("bigint"), "_end")).alias("idx")).join(calendar, "idx").drop("idx")
     else:
         days = calendar.select("dt")
     keys = [*by, DT]
-    joined = days.join(flows, keys, "left").join(marks, keys, "left")
-    series = joined.withColumn("_series", F.concat_ws("|", F.lit("run"), *[F.col(b).cast("string") for b in by]))
-    summed = running(series, {"_flow": ("sum", F.coalesce("flow", F.lit(0.0)))}, key="_series", order=DT)
+    logged = days.join(flows, keys, "left").withColumn("_logged", F.lit(True))
+    # holdings may also change between the days that are logged
+    series = logged.unionByName(changes, allowMissingColumns=True).withColumn("_series", F.concat_ws("|", F.lit("run"), *[F.col(b).cast("string") for b in by]))
+    series = series.groupBy("_series", *keys).agg(F.max("_logged").alias("_logged"), F.sum("flow").alias("flow"), F.sum("cents").alias("cents"))
+    sums = {"_flow": ("sum", F.coalesce("flow", F.lit(0.0))), "_cents": ("sum", F.coalesce("cents", F.lit(0).cast("bigint")))}
+    summed = running(series, sums, key="_series", order=DT).where("_logged")
     return summed.select(
         *by,
         DT,
-        F.coalesce("market_value", F.lit(0.0)).alias("market_value"),
+        (F.col("_cents") / F.lit(100.0)).alias("market_value"),
         (F.lit(float(initial_cash)) + F.col("_flow")).alias("free_cash_amount"),
         F.lit(0.0).alias("frozen_cash_amount"),
     )

@@ -10,6 +10,7 @@ from tickloom.operators.factors import extended
 from tickloom.operators.series import CODE, DT
 from tickloom.plans import sweep
 from tickloom.plans.strategy import Fees, Slip, Strategy, run_evaluator, with_slippage
+from tickloom.session import stored
 from tickloom.workload.lookups import SIGNAL_SQL, _signal_table, pct_sql, stop_sql, take_sql
 from tickloom.workload.registry import query
 from tickloom.workload.views import Views, r, u, with_views
@@ -18,8 +19,15 @@ from tickloom.workload.views import Views, r, u, with_views
 # -- signals and exits: buy at or under the lower band, close at or over the upper one ------------------------------
 
 
+def _table(v: Views) -> DataFrame:
+    """The factor table of a query, stored: signals, exits and marks read it."""
+    if not hasattr(v, "stored_signal_table"):
+        v.stored_signal_table = stored(_signal_table(v), "signal-table")
+    return v.stored_signal_table
+
+
 def _signals(v: Views) -> tuple[DataFrame, DataFrame]:
-    table = _signal_table(v)
+    table = _table(v)
     weight = (F.col(CODE) % 3 + 1).cast("double")
     return table, filters.buy_signals(table, F.col("close") <= F.col("boll_lower"), weight=weight)
 
@@ -29,11 +37,11 @@ SIG = SIGNAL_SQL + ", sig AS (SELECT code, dt, close AS order_price, CAST(code%3
 
 def trades_sql(prefer_stop: str = "true", sl: str = "3e0", tp: str = "4e0", sig: str = "sig", out: str = "tr") -> str:
     """Independent exits by looking at every later bar of the code."""
-    return f""", {out}_h AS (SELECT s.code, s.dt, s.order_price, b.dt AS exit_dt, b.close, b.close>=b.boll_upper AS cs,
+    return f""", {out}_h AS MATERIALIZED (SELECT s.code, s.dt, s.order_price, b.dt AS exit_dt, b.close, b.close>=b.boll_upper AS cs,
   {stop_sql('s.order_price', sl, 'b.open', 'b.low')} AS st, {take_sql('s.order_price', tp, 'b.open', 'b.high')} AS tk
   FROM {sig} s JOIN fx b ON b.code=s.code AND b.dt>s.dt),
-{out}_f AS (SELECT * FROM {out}_h WHERE st IS NOT NULL OR tk IS NOT NULL OR cs QUALIFY row_number() OVER (PARTITION BY code, dt ORDER BY exit_dt)=1),
-{out}_a AS (SELECT *, CASE WHEN st IS NOT NULL AND (tk IS NULL OR {prefer_stop}) THEN 'STOP_LOSS' WHEN tk IS NOT NULL THEN 'TAKE_PROFIT' WHEN cs THEN 'CLOSE' END AS action FROM {out}_f),
+{out}_f AS MATERIALIZED (SELECT * FROM {out}_h WHERE st IS NOT NULL OR tk IS NOT NULL OR cs QUALIFY row_number() OVER (PARTITION BY code, dt ORDER BY exit_dt)=1),
+{out}_a AS MATERIALIZED (SELECT *, CASE WHEN st IS NOT NULL AND (tk IS NULL OR {prefer_stop}) THEN 'STOP_LOSS' WHEN tk IS NOT NULL THEN 'TAKE_PROFIT' WHEN cs THEN 'CLOSE' END AS action FROM {out}_f),
 {out} AS (SELECT s.code, s.dt, s.order_price, s.weight, a.exit_dt, CASE a.action WHEN 'STOP_LOSS' THEN st WHEN 'TAKE_PROFIT' THEN tk WHEN 'CLOSE' THEN close END AS exit_price, a.action
   FROM {sig} s LEFT JOIN {out}_a a ON a.code=s.code AND a.dt=s.dt)"""
 
@@ -217,7 +225,7 @@ eq AS (SELECT c.dt, coalesce(mv,0e0) AS market_value, 1e7+sum(coalesce(flow,0e0)
     with_views("bars", "calendar", body=SIG + trades_sql() + VOL + EQUITY + f"SELECT dt, {r('market_value', 4)} AS market_value, {r('free_cash_amount', 4)} AS free_cash_amount, frozen_cash_amount FROM eq"),
 )
 def _equity(v: Views) -> DataFrame:
-    curve = P.equity_curve(_sized(v), _signal_table(v), v.calendar, 1e7)
+    curve = P.equity_curve(_sized(v), _table(v), v.calendar, 1e7)
     return curve.withColumns({c: S.rounded(c, 4) for c in ("market_value", "free_cash_amount")})
 
 
@@ -358,7 +366,7 @@ def _rule(p) -> Column:
 
 
 def _sweep_signals(v: Views, repetitions: int = 2) -> tuple[DataFrame, DataFrame]:
-    table = _signal_table(v)
+    table = _table(v)
     runs = sweep.runs_of(sweep.param_sets(AXES), repetitions)
     return table, sweep.sweep_signals(table, runs, _rule, prefilter=F.col("close") <= F.col("boll_lower"))
 
@@ -394,7 +402,7 @@ def _sweep_eval(v: Views) -> DataFrame:
         )
 
     runs = sweep.runs_of(sweep.param_sets(AXES), 2)
-    return sweep.sweep(_signal_table(v), runs, _rule, evaluate, prefilter=F.col("close") <= F.col("boll_lower"))
+    return sweep.sweep(_table(v), runs, _rule, evaluate, prefilter=F.col("close") <= F.col("boll_lower"))
 
 
 @query(
