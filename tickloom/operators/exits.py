@@ -11,6 +11,8 @@ only those that match, so neither long holdings nor very long series enlarge it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions import codes, rules, scalar as S
@@ -159,6 +161,23 @@ def entry_exit(
     return each.select(*keep, "exit_dt", "exit_price", "action", *extra)
 
 
+def shared_exits(signals: DataFrame, bars: DataFrame, stop_loss: Column | float, take_profit: Column | float, order_policy: str = SL_FIRST, **kwargs) -> DataFrame:
+    """``entry_exit`` for signals of many runs: runs that enter alike, with the same levels, share one search.
+
+    ``order_policy`` must not be random, as runs would share their draws too.
+    """
+    if order_policy == RANDOM:
+        raise ValueError("runs that draw by themselves can't share a search")
+    lit = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    signals = stored(signals.withColumns({"_stop_at": lit(stop_loss), "_take_at": lit(take_profit)}), "signals")
+    alike = [CODE, DT, "order_price", "_stop_at", "_take_at"]
+    found = entry_exit(signals.select(*alike).distinct(), bars, F.col("_stop_at"), F.col("_take_at"), order_policy, **kwargs)
+    theirs = found.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(alike)], *[c for c in found.columns if c not in alike])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(alike)])
+    # signals that no bar places have no row in ``found``, as in ``entry_exit``
+    return signals.join(theirs, same).drop(*[f"_s{i}" for i in range(len(alike))], "_stop_at", "_take_at")
+
+
 def without_overlap(trades: DataFrame, keys: tuple[str, ...] = (CODE,)) -> DataFrame:
     """Keep the trades that a holder of one position per code would make: the first entry, then the first entry
     after the day of its exit, and so on. An entry without an exit is the last one.

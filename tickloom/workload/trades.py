@@ -361,14 +361,17 @@ def _benchmark(v: Views) -> DataFrame:
 AXES = [("min_vol", [20.0, 40.0, 60.0]), (("dip", "stop_loss", "take_profit"), [(0.0, 2.0, 3.0), (0.5, 4.0, 5.0)])]
 
 
-def _rule(p) -> Column:
-    return (F.col("close") <= F.col("boll_lower") - p("dip")) & (F.col("vol") >= p("min_vol"))
+#: Buys at so much under the lower band, at such a volume.
+RULE = [
+    sweep.Threshold("dip", lambda dip: F.col("close") <= F.col("boll_lower") - dip),
+    sweep.Threshold("min_vol", lambda least: F.col("vol") >= least),
+]
 
 
 def _sweep_signals(v: Views, repetitions: int = 2) -> tuple[DataFrame, DataFrame]:
     table = _table(v)
     runs = sweep.runs_of(sweep.param_sets(AXES), repetitions)
-    return table, sweep.sweep_signals(table, runs, _rule, prefilter=F.col("close") <= F.col("boll_lower"))
+    return table, sweep.sweep_signals(table, runs, RULE, prefilter=F.col("close") <= F.col("boll_lower"))
 
 
 GRID = """, g AS (SELECT rep || '-' || (a*2+b+1) AS run_id, rep || '-1' AS batch_id, CAST(rep AS INTEGER) AS repetition, 20e0+20*a AS min_vol, 5e-1*b AS dip, 2e0+2*b AS stop_loss, 3e0+2*b AS take_profit
@@ -391,7 +394,7 @@ SELECT ss.run_id, any_value(ss.min_vol) AS min_vol, any_value(ss.dip) AS dip, co
 )
 def _sweep_eval(v: Views) -> DataFrame:
     def evaluate(signals: DataFrame, table: DataFrame) -> DataFrame:
-        found = exits.entry_exit(signals, table, F.col("stop_loss"), F.col("take_profit"), run_keys=("run_id",))
+        found = exits.shared_exits(signals, table, F.col("stop_loss"), F.col("take_profit"))
         return found.groupBy("run_id").agg(
             F.min("min_vol").alias("min_vol"),
             F.min("dip").alias("dip"),
@@ -402,7 +405,38 @@ def _sweep_eval(v: Views) -> DataFrame:
         )
 
     runs = sweep.runs_of(sweep.param_sets(AXES), 2)
-    return sweep.sweep(_table(v), runs, _rule, evaluate, prefilter=F.col("close") <= F.col("boll_lower"))
+    return sweep.sweep(_table(v), runs, RULE, evaluate, prefilter=F.col("close") <= F.col("boll_lower"))
+
+
+def _wide_grid():
+    """36 parameter sets: three by three by two by two."""
+    axes = [("dip", [0.0, 0.25, 0.5]), ("min_vol", [20.0, 40.0, 60.0]), ("stop_loss", [2.0, 4.0]), ("take_profit", [3.0, 5.0])]
+    yield from sweep.param_sets(axes)
+
+
+@query(
+    "sweep_720_runs",
+    with_views("bars", body=SIGNAL_SQL + f""", g AS (SELECT rep || '-' || (((a*3+b)*2+c)*2+d+1) AS run_id, 25e-2*a AS dip, 20e0+20*b AS min_vol, 2e0+2*c AS stop_loss, 3e0+2*d AS take_profit
+  FROM (SELECT unnest(range(1,21)) AS rep), (SELECT unnest(range(0,3)) AS a), (SELECT unnest(range(0,3)) AS b), (SELECT unnest(range(0,2)) AS c), (SELECT unnest(range(0,2)) AS d)),
+ss AS (SELECT g.*, code, dt, close AS order_price FROM fx JOIN g ON close<=boll_lower-dip AND vol>=min_vol),
+one AS (SELECT DISTINCT code, dt, order_price, stop_loss, take_profit FROM ss),
+hh AS (SELECT s.*, b.dt AS exit_dt, {stop_sql('s.order_price', 's.stop_loss', 'b.open', 'b.low')} AS st,
+  {take_sql('s.order_price', 's.take_profit', 'b.open', 'b.high')} AS tk FROM one s JOIN fx b ON b.code=s.code AND b.dt>s.dt),
+fh AS (SELECT * FROM hh WHERE st IS NOT NULL OR tk IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code, dt, stop_loss, take_profit ORDER BY exit_dt)=1)
+SELECT run_id, count(*) AS n_signals, count(st) AS n_stopped, count(exit_dt)-count(st) AS n_taken, {r(f"avg({r('1e2*(coalesce(st,tk)-ss.order_price)/ss.order_price')})", 6)} AS avg_pct
+FROM ss LEFT JOIN fh USING (code, dt, stop_loss, take_profit) GROUP BY run_id"""),
+)
+def _sweep_wide(v: Views) -> DataFrame:
+    def evaluate(signals: DataFrame, table: DataFrame) -> DataFrame:
+        found = exits.shared_exits(signals, table, F.col("stop_loss"), F.col("take_profit"))
+        return found.groupBy("run_id").agg(
+            F.count(F.lit(1)).alias("n_signals"),
+            F.count_if(F.col("action") == "STOP_LOSS").alias("n_stopped"),
+            F.count_if(F.col("action") == "TAKE_PROFIT").alias("n_taken"),
+            S.rounded(F.avg(S.pct_chg("order_price", "exit_price")), 6).alias("avg_pct"),
+        )
+
+    return sweep.sweep(_table(v), sweep.runs_of(_wide_grid, 20), RULE, evaluate)
 
 
 @query(
