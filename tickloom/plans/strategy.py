@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions import codes as C, scalar as S
-from tickloom.operators import exits, filters, metrics, portfolio
+from tickloom.operators import exits, filters, metrics, portfolio, rule_exits
 from tickloom.operators.adjust import adjust_prices
 from tickloom.operators.factors import BUILTIN, FactorBook, notna_columns, with_factors
 from tickloom.operators.series import CODE, DT
@@ -48,12 +48,17 @@ class Strategy:
 
     ``factors`` names every factor the rules read. ``pre_process`` sees raw bars before adjustment,
     ``post_process`` the factor table. ``custom_params`` are visible to all rules.
+
+    ``should_stop_loss`` and ``should_take_profit`` take (params) and return an ``ExitRule``, the price at which a position
+    is sold on a bar; where one is missing, ``stop_loss`` and ``take_profit`` are levels in percent of the order price.
     """
 
     name: str
     factors: tuple[str, ...]
     should_buy: Callable[[Params], Column]
     should_sell: Callable[[Params], Column] | None = None
+    should_stop_loss: Callable[[Params], rule_exits.ExitRule] | None = None
+    should_take_profit: Callable[[Params], rule_exits.ExitRule] | None = None
     price: Callable[[Params], Column] = lambda p: F.col("close")
     weight: Callable[[Params], Column] = lambda p: F.lit(1.0)
     pre_process: Hook | None = None
@@ -99,10 +104,15 @@ class Strategy:
         return F.lit(False) if self.should_sell is None else self.should_sell(self.params)
 
     def trades(self, table: DataFrame, signals: DataFrame, seed: int = 0, run_keys: tuple[str, ...] = ()) -> DataFrame:
-        """One row per signal with its exit; exits at a level are worsened by the slip."""
-        found = exits.entry_exit(
-            signals, table, self.stop_loss, self.take_profit, self.sl_tf_order, close=self.closing(), seed=seed, unit=self.unit, run_keys=run_keys
-        )
+        """One row per signal with its exit; exits at a level or by a rule are worsened by the slip."""
+        how = dict(close=self.closing(), seed=seed, unit=self.unit, run_keys=run_keys)
+        if self.should_stop_loss or self.should_take_profit:
+            p = self.params
+            stop = self.should_stop_loss(p) if self.should_stop_loss else rule_exits.stop_at(self.stop_loss)
+            take = self.should_take_profit(p) if self.should_take_profit else rule_exits.take_at(self.take_profit)
+            found = rule_exits.rule_exit(signals, table, stop, take, self.sl_tf_order, **how)
+        else:
+            found = exits.entry_exit(signals, table, self.stop_loss, self.take_profit, self.sl_tf_order, **how)
         return with_slippage(found, self.stop_loss_slip, self.take_profit_slip, seed, run_keys)
 
     def backtest(

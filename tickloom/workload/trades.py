@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickloom.functions import scalar as S
 from tickloom.operators import exits, factors as X, filters, joins, metrics as M, portfolio as P
 from tickloom.operators.factors import extended
+from tickloom.operators.rule_exits import ExitRule
 from tickloom.operators.series import CODE, DT
 from tickloom.plans import sweep
 from tickloom.plans.strategy import Fees, Slip, Strategy, run_evaluator, with_slippage
@@ -510,6 +511,33 @@ def _backtest(v: Views) -> DataFrame:
     return run_evaluator(book["log"], book["capitals"])
 
 
+def _hooked(v: Views) -> tuple[DataFrame, Strategy]:
+    """Stops at a close some way under the lower band, which no summary tells; takes a rise by so much on rising volume."""
+    stop = lambda p: ExitRule(lambda bar, position: F.when(bar("close") < bar("boll_lower") - p.under, bar("close")))
+    rise = lambda position, p: position("order_price") + p.rise
+    take = lambda p: ExitRule(
+        lambda bar, position: F.when((bar("high") >= rise(position, p)) & (bar("vol") > bar("vol_ref1")), F.greatest(bar("open"), rise(position, p))),
+        {"highest": lambda bar: F.max(F.when(bar("vol") > bar("vol_ref1"), bar("high")))},
+        lambda node, position: node("highest") >= rise(position, p),
+    )
+    plan = Strategy("hooked", (), lambda p: F.col("close") <= F.col("boll_lower"), should_stop_loss=stop, should_take_profit=take,
+                    stop_loss_slip=Slip("max_pct", 0.0), take_profit_slip=Slip("max_pct", 0.0)).with_params(under=0.25, rise=2.5)
+    return _table(v), plan
+
+
+@query(
+    "strategy_own_exits",
+    with_views("bars", body=SIG + """, hk AS MATERIALIZED (SELECT s.code, s.dt, b.dt AS exit_dt, CASE WHEN b.close<b.boll_lower-25e-2 THEN b.close END AS st,
+  CASE WHEN b.high>=s.order_price+25e-1 AND b.vol>b.vol1 THEN greatest(b.open, s.order_price+25e-1) END AS tk FROM sig s JOIN fx b ON b.code=s.code AND b.dt>s.dt),
+hf AS MATERIALIZED (SELECT * FROM hk WHERE st IS NOT NULL OR tk IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code, dt ORDER BY exit_dt)=1)
+SELECT s.code, s.dt, s.order_price, 1e0 AS weight, exit_dt, coalesce(st, tk) AS exit_price, CASE WHEN st IS NOT NULL THEN 'STOP_LOSS' WHEN tk IS NOT NULL THEN 'TAKE_PROFIT' END AS action
+FROM sig s LEFT JOIN hf USING (code, dt)"""),
+)
+def _own_exits(v: Views) -> DataFrame:
+    table, plan = _hooked(v)
+    return plan.trades(table, plan.signals(table))
+
+
 @query("slipped_trades")
 def _slipped(v: Views) -> DataFrame:
     table, signals = _signals(v)
