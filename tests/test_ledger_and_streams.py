@@ -108,3 +108,28 @@ def test_empty_batch_of_opening_quotes(spark):
     handle(batch, 0)
     handle(batch, 1)
     assert spark.read.schema("code string, dt date").parquet(path).count() == 0
+
+
+def test_factors_of_many_days_equal_those_of_each_day_alone(spark):
+    """Each quote as if its history ended the day before; the quote's close differs from the bar later stored."""
+    import random
+
+    from tickloom.operators.factors import lookback_of, with_factors
+    from tickloom.operators.joins import merge_quote_into_history
+
+    rnd, names = random.Random(5), ["sma5", "ema10", "macd", "atr"]
+    day = lambda i: dt.date(2021, 3, 1) + dt.timedelta(days=i)
+    price = lambda: [round(rnd.uniform(9, 11), 2) for _ in range(4)]
+    rows = [(c, day(i), *price(), 1.0, rnd.choice([0.2, None, 0.7])) for c, n in (("a", 700), ("b", 400), ("c", 20)) for i in range(n) if rnd.random() < 0.9]
+    hist = spark.createDataFrame(rows, "code string, dt date, open double, high double, low double, close double, vol double, mkt_cap_rank double")
+    days = [day(i) for i in (0, 1, 15, 30, 399, 400, 650, 699, 900)]
+    quotes = spark.createDataFrame([(c, d, *price(), 1.0) for c in ("a", "b", "c", "new") for d in days], hist.drop("mkt_cap_rank").schema)
+    assert lookback_of(names, None, hist.columns) < 1_000
+    got = live.asof_factors(quotes, hist, names, 10).collect()
+    want = []
+    for d in days:
+        merged = merge_quote_into_history(hist.where(F.col("dt") < F.lit(d)), quotes.where(F.col("dt") == F.lit(d)), 10)
+        want += with_factors(merged, names).where(F.col("dt") == F.lit(d)).collect()
+    near = lambda r: (r.code, r.dt, r.close, r.mkt_cap_rank, *(None if r[n] is None else round(r[n], 9) for n in names))
+    assert sorted(map(near, got), key=repr) == sorted(map(near, want), key=repr) and len(want) > 10
+    assert set(got[0].asDict()) == set(want[0].asDict())

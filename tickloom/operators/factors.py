@@ -170,6 +170,11 @@ def with_factors(
     return out
 
 
+def lookback_of(names: Iterable[str], book: "FactorBook | None", present: Iterable[str]) -> int:
+    """Earlier bars that the named factors of a bar look back on, beside those its columns already hold."""
+    return _reach(resolve(list(names), book or BUILTIN, list(present)))
+
+
 def missing_factors(df: DataFrame, names: Iterable[str]) -> list[str]:
     """The names that are not columns yet."""
     return [n for n in names if n not in df.columns]

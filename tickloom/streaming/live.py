@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,26 +11,56 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tickloom.functions import orders as O
 from tickloom.operators.adjust import to_real_price
-from tickloom.operators.factors import BUILTIN, FactorBook, with_factors
-from tickloom.operators.filters import latest_slice
-from tickloom.operators.joins import merge_quote_into_history
+from tickloom.operators.asof import asof_join
+from tickloom.operators.factors import BUILTIN, FactorBook, lookback_of, with_factors
 from tickloom.operators.ledger import account_assets, positions_from_orders
 from tickloom.operators.sets import latest_record
-from tickloom.operators.series import CODE, DT
+from tickloom.operators.series import CODE, DT, POS, with_positions
+from tickloom.session import stored
 
+#: Bars of a code that meet a quote's look-back together.
+BLOCK = 128
 
-def day_factors(quotes: DataFrame, hist: DataFrame, names: Iterable[str], day, min_bars: int, book: FactorBook = BUILTIN) -> DataFrame:
-    """History plus the current quote of each code → factors → the day's rows."""
-    merged = merge_quote_into_history(hist, quotes, min_bars)
-    return latest_slice(with_factors(merged, names, book), day)
+
+def asof_factors(quotes: DataFrame, hist: DataFrame, names: Iterable[str], min_bars: int, book: FactorBook = BUILTIN, unit: str = "year") -> DataFrame:
+    """Factors of each quote (code, dt, ...), as if its history ended the day before: quotes of any number of days in
+    one plan.
+
+    A quote takes its code's market-value rank of the last bar before its day; quotes without one are dropped, and so
+    are those that have fewer than ``min_bars`` bars with themselves. Each quote is the end of a series of its own, made
+    of as many earlier bars as the factors look back on, which keep their numbers in the whole history. So the work
+    follows the quotes and the look-back, not the days or the length of the history. ``quotes`` has one row per code and day.
+    """
+    names = list(names)
+    hist = stored(with_positions(hist, unit=unit), "history")
+    ranked = hist.select(CODE, F.col(DT).alias("_bar_dt"), F.col(POS).alias("_last"), "mkt_cap_rank")
+    ends = asof_join(quotes.drop("mkt_cap_rank", POS), ranked, ["_last", "mkt_cap_rank"], right_on="_bar_dt", allow_exact=False, unit=unit)
+    ends = ends.where(F.col("mkt_cap_rank").isNotNull() & (F.col("_last") + 2 >= min_bars)).withColumn(POS, F.col("_last") + 1)
+    ends = stored(ends.withColumns({"_series": F.concat_ws("|", F.col(CODE).cast("string"), F.col(DT).cast("string"))}), "quotes")
+
+    back = lookback_of(names, book, hist.columns)
+    block = lambda c: F.floor(c / BLOCK)
+    spans = ends.select("_series", F.col(CODE).alias("_code"), F.col(POS).alias("_end"))
+    spans = spans.withColumn("_block", F.explode(F.sequence(block(F.greatest(F.col("_end") - back, F.lit(0))), block(F.greatest(F.col("_end") - 1, F.lit(0))))))
+    past = hist.withColumns({"_code": F.col(CODE), "_block": block(F.col(POS))}).join(spans, ["_code", "_block"])
+    past = past.where(F.col(POS).between(F.col("_end") - back, F.col("_end") - 1)).select("_series", *hist.columns)
+    series = past.withColumn("_quote", F.lit(False)).unionByName(ends.drop("_last").withColumn("_quote", F.lit(True)), allowMissingColumns=True)
+    return with_factors(series, names, book, key="_series", unit=unit, keep_pos=True).where("_quote").drop("_quote", "_series", POS)
+
+
+def latest_quotes(batch: DataFrame, ts: str = "ts") -> DataFrame:
+    """The last quote per code and day."""
+    others = [c for c in batch.columns if c not in (CODE, DT)]
+    last = batch.groupBy(CODE, DT).agg(F.max_by(F.struct(*others), ts).alias("_r"))
+    return last.select(CODE, DT, *[F.col("_r")[c].alias(c) for c in others if c != ts])
 
 
 def open_factors_sink(hist: DataFrame, names: Iterable[str], path: str, min_bars: int, book: FactorBook = BUILTIN):
     """Batch handler: the opening quotes of a day give that day's factor table, once per code and day.
 
     Each batch overwrites its own folder ``batch=<id>`` and looks only at earlier batches for codes that are done, so a
-    batch repeated after a failure gives the same rows, and codes whose quote comes later are still added. A batch
-    holds a few trade days, whose list is the only thing collected.
+    batch repeated after a failure gives the same rows, and codes whose quote comes later are still added. A batch may
+    hold any number of days.
     """
     names = list(names)
 
@@ -41,12 +70,7 @@ def open_factors_sink(hist: DataFrame, names: Iterable[str], path: str, min_bars
             keys = StructType([batch.schema[CODE], batch.schema[DT], StructField("batch", LongType())])
             done = spark.read.schema(keys).parquet(path).where(F.col("batch") < batch_id)
             batch = batch.join(done.select(CODE, DT), [CODE, DT], "left_anti")
-        parts = []
-        for (day,) in sorted(batch.select(DT).distinct().collect()):
-            quotes = latest_record(batch.where(F.col(DT) == F.lit(day)), dt="ts").drop("ts")
-            past = hist.where(F.col(DT) < F.lit(day))
-            parts.append(day_factors(quotes, past, names, day, min_bars, book))
-        rows = reduce(DataFrame.unionByName, parts) if parts else batch.select(CODE, DT)
+        rows = asof_factors(latest_quotes(batch), hist, names, min_bars, book)
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return handle
@@ -57,18 +81,16 @@ def close_monitor_sink(
     book: FactorBook = BUILTIN,
 ):
     """Batch handler: near the close, factors of held codes are computed with the latest quote, and positions whose
-    closing rule triggers are written with the quoted price."""
+    closing rule triggers are written with the quoted price. Each batch overwrites its own folder ``batch=<id>``; it may
+    hold any number of days."""
     names = list(names)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         held = positions.select(CODE).distinct()
-        for (day,) in sorted(batch.select(DT).distinct().collect()):
-            latest = latest_record(batch.where(F.col(DT) == F.lit(day)), dt="ts").drop("ts")
-            quotes = latest.join(held, CODE, "left_semi")
-            past = hist.where(F.col(DT) < F.lit(day)).join(held, CODE, "left_semi")
-            rows = day_factors(quotes, past, names, day, min_bars, book).where(rule)
-            orders = to_real_price(rows, adjust, "close", "order_price").select(CODE, DT, "order_price")
-            orders.drop(DT).write.mode("overwrite").parquet(f"{path}/dt={day}/batch={batch_id}")
+        quotes = latest_quotes(batch).join(held, CODE, "left_semi")
+        rows = asof_factors(quotes, hist.join(held, CODE, "left_semi"), names, min_bars, book).where(rule)
+        orders = to_real_price(rows, adjust, "close", "order_price").select(CODE, DT, "order_price")
+        orders.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return handle
 

@@ -88,11 +88,10 @@ def _one_per_day(v: Views) -> DataFrame:
 
 # -- factors of a day -------------------------------------------------------------------------------------------------
 
-LAST_DAYS = "2024-01-28"
 DAILY = f""", hist AS (SELECT code, CAST(ts AS DATE) AS dt, arg_max(price, ts) AS close FROM ticks GROUP BY ALL),
 f AS (SELECT code, dt, close, {r('avg(close) OVER (PARTITION BY code ORDER BY dt ROWS 2 PRECEDING)', 6)} AS sma3, avg(close) OVER (PARTITION BY code ORDER BY dt ROWS 2 PRECEDING) AS m,
   row_number() OVER (PARTITION BY code ORDER BY dt) AS n FROM hist),
-d AS (SELECT * FROM f WHERE n>=3 AND dt>=DATE '{LAST_DAYS}')"""
+d AS (SELECT * FROM f WHERE n>=3)"""
 
 
 def _history(v: Views) -> DataFrame:
@@ -101,8 +100,8 @@ def _history(v: Views) -> DataFrame:
 
 
 def run_days(v: Views, make: Callable[[DataFrame, str], Callable]) -> str:
-    """Stream the last days' quotes through a batch handler; returns the folder it fills."""
-    quotes, path = _history(v).where(F.col(DT) >= F.lit(LAST_DAYS)).drop("mkt_cap_rank"), new_dir(v.spark, "days")
+    """Stream the quotes of all days through a batch handler; returns the folder it fills."""
+    quotes, path = _history(v).drop("mkt_cap_rank"), new_dir(v.spark, "days")
     run_batches(restreamed(v, quotes, "day-quotes"), make(_history(v).drop("ts"), path), path + "-run")
     return path
 
@@ -121,7 +120,7 @@ def _open_factors(v: Views) -> DataFrame:
 def _close_monitor(v: Views) -> DataFrame:
     held = v.ticks.select(CODE).distinct().where(F.col(CODE) % 2 == 0)
     path = run_days(v, lambda hist, path: live.close_monitor_sink(hist, held, v.factors, ["sma3"], F.col("close") > F.col("sma3"), path, 3))
-    schema = "code bigint, order_price double, dt date"
+    schema = "code bigint, dt date, order_price double"
     return v.spark.read.schema(schema).parquet(path).select(CODE, DT, "order_price")
 
 
