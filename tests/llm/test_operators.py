@@ -297,3 +297,10 @@ def test_decoder_finds_the_best_path(word, monkeypatch):
 def small_lattice(model, word):
     """The lattice whose wildcards stand for a to g only."""
     return [[(k, c) for k, c in own if k is None or c != -4.0 or k < 7] for own in toxicity.Restorer.lattice(model, word)]
+
+
+def test_pages_with_columns_of_the_labels(spark):
+    pages = spark.createDataFrame([(i, f"https://bad.example.net/x/{i}?a=1", i, 1, 0) for i in range(60)], "page_id long, url string, doc_id long, toxic int, quality int")
+    labels = spark.createDataFrame([(i, 0, 1) for i in range(60)], "doc_id long, quality int, toxic int")
+    rules = url_filter.mine(pages, labels)
+    assert url_filter.judge(pages, [], rules).count() == 60 and url_filter.judge(pages.limit(0), [], rules).count() == 0

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tickloom.llm import bpe, mixing, toxicity
@@ -148,3 +149,19 @@ def test_toxic_rows_against_all_paths(spark, tmp_path):
     for i, text in rows:
         odd = 1 - (1 - p0) * np.prod([1 - lexicon[w] for w in {w for t in text.split() for w in found(t)}]) >= 0.5
         assert odd == (i % 3 == 0) == (i not in kept)
+
+
+def test_extra_columns_of_any_name_come_through(spark, small):
+    """Names that the stages use themselves, with values of several kinds."""
+    import corpus_pipeline
+
+    names = ["_row", "_sha2", "_sha", "_id", "_id2", "_n2", "_n", "_one", "_toxicity", "_times", "_each", "_key", "node", "source_size", "size", "n", "best", "score", "a.b", "_carried", "taken"]
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    extra = {c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in names}
+    wide = docs.withColumns(extra).withColumn("word", F.array(F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, out = stage(spark, docs, small), stage(spark, wide, small)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain.collect()) and rows, name
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in names) and all(r.word == [r.doc_id] for r in rows), name

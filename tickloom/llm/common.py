@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import uuid
 
@@ -37,6 +38,24 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def carrying(*read: str):
+    """For stages that keep rows of ``docs`` whole and read only the columns ``read``: the others go through as one struct,
+    so no helper column of the stage can clash with them, whatever their names. The stage returns the columns it got."""
+    def wrap(stage):
+        @functools.wraps(stage)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            rest = [c for c in docs.columns if c not in read]
+            if not rest:
+                return stage(docs, *args, **kwargs)
+            packed = docs.select(*[c for c in docs.columns if c in read], F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_carried"))
+            out = stage(packed, *args, **kwargs)
+            return out.select(*[F.col("_carried").getField(c).alias(c) if c in rest else F.col(f"`{c}`") for c in docs.columns])
+
+        return run
+
+    return wrap
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, _UPPER, _LOWER)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WHITE_BYTES, attach, slices, stored
+from tickloom.llm.common import WHITE_BYTES, attach, carrying, slices, stored
 
 #: Largest prime below 2^128.
 PRIME = 2**128 - 159
@@ -135,6 +135,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         .select("doc_id", "fp", "n_chars", "text_sha256", "keep_id", "group_size", "kept")
 
 
+@carrying("doc_id", "text", "source", "lang")
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose equal stays elsewhere; all columns, one row of each group."""
     kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("n_chars").alias("_n"), F.col("text_sha256").alias("_sha"))

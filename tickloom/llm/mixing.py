@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import attach, n_words, row_key, stored
+from tickloom.llm.common import attach, carrying, n_words, row_key, stored
 
 #: x_n = frac(n * GOLDEN / 2^31): an odd multiplier near the golden section visits every point once in 2^31 slots.
 GOLDEN, UNIT = 1327217885, 1 << 31
@@ -134,6 +134,7 @@ def _taken(docs: DataFrame, **options) -> DataFrame:
     return placed.join(got, hit, "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
+@carrying("doc_id", "text", "source")
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as often as the mix takes them, whole: a row is repeated taken / size times, rounded half up.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import held_out, slices, stored
+from tickloom.llm.common import carrying, held_out, slices, stored
 
 #: Labelled rows the lexicon is learnt from, at most; the first by a hash of the id.
 TRAIN_ROWS = 20_000
@@ -386,6 +386,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+@carrying("doc_id", "text")
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that score 0.5 or more."""
     into = "_toxicity"

@@ -64,7 +64,7 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     """Rules (antecedent, confidence, support) that imply a bad page; ``labels`` has doc_id, quality and toxic."""
     bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
     known = labels.groupBy("doc_id").agg(F.max(bad).alias("bad"))
-    items = pages.join(known, F.col("page_id") == F.col("doc_id")) \
+    items = pages.select("page_id", "url").join(known, F.col("page_id") == F.col("doc_id")) \
         .select(F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
     items = stored(items, "transactions")
     n = items.count()
