@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from tickloom.llm.jaccard_join import Join, Leaves, leaf_keys, near_duplicates, shingle_sets
+from tickloom.llm import jaccard_join
+from tickloom.llm.jaccard_join import Join, Leaves, drop_near_copies, leaf_keys, near_duplicates, point, shingle_sets
 
 
 def brute(rows, join):
@@ -70,3 +72,58 @@ def test_empty_table_and_hot_group(spark):
     rows = [(i, " ".join([*base[: i % 100], f"u{i}", *base[i % 100 + 1 :]])) for i in range(700)]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Join()).collect()
     assert {r.component_id for r in got} == {0}
+
+
+def scattered(n=300):
+    """One passage that all share, with own words around it: all meet in leaves, few are linked."""
+    rnd = random.Random(8)
+    core = [f"c{i}" for i in range(60)]
+    families = [[f"f{k}_{i}" for i in range(rnd.choice([14, 16, 18, 40]))] for k in range(25)]
+    rows = []
+    for i in range(n):
+        own = list(families[rnd.randrange(25)])
+        for _ in range(rnd.randrange(4)):
+            own[rnd.randrange(len(own))] = f"x{rnd.random()}"
+        rows.append((i, " ".join(core + own)))
+    return rows
+
+
+@pytest.mark.parametrize("size", [8 << 20, 20_000])
+def test_open_leaves_in_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", size)
+    rows, join = scattered(), Join(3, 4, 5)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), join)
+    assert sorted(map(tuple, got.collect())) == brute(rows, join)
+
+
+def test_a_block_gives_one_link_a_join():
+    """What a pass over all members gives is a forest that joins the components of all linked pairs."""
+    join, rows = Join(3, 4, 5), scattered(200)
+    sets = shingle_sets([t.encode() for _, t in rows], join.words)
+    block = jaccard_join._Block(join)
+    for i, s in enumerate(sets):
+        block.add(i, i, -1, s, point(s))
+    links = [(i, j) for i, s in enumerate(sets) for j in block.links(i, i, -1, s, point(s), True)]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        assert join.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))
+        assert find(i) != find(j)  # so links are fewer than members
+        root[find(i)] = find(j)
+    want = {d: c for d, _, c in brute(rows, join)}
+    least = {}
+    for i in range(len(sets)):
+        least.setdefault(find(i), i)
+    assert {i: least[find(i)] for i in range(len(sets))} == want
+
+
+def test_null_and_repeated_ids_with_different_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(None, a), (None, a + " z"), (None, b), (5, a), (5, b), (5, "c d e f g h"), (6, None), (None, None)]
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), Join()).collect()
+    assert sorted(map(str, kept)) == sorted(f"Row(doc_id={d!r}, text={t!r})" for d, t in [(5, a), (5, b), (5, "c d e f g h"), (6, None), (None, None)])

@@ -1,15 +1,16 @@
 """Self-join of documents by Jaccard similarity of their word shingles, exact at any threshold.
 
-Shingles are hashed into groups; a document's group counts are a point, and the sum of coordinate minima of two
-points bounds the overlap of their sets from above. Points are indexed by boxes in sub-spaces: the groups are split
-into bands, and two documents share a leaf when they agree in one band. At similarity t two sets of sizes a <= b
+Candidates come from a partition-signature join: the hashes of a set's shingles are dealt over bands, a leaf is a digest
+of what one band holds, and two documents meet when they agree in one band. At similarity t two sets of sizes a <= b
 differ in at most a * (1 - t) / t shingles, so with more bands than that they agree in at least one: no pair is
-lost. (A directory of boxes over all coordinates prunes almost nothing: see the README.) Pairs from a leaf whose
-bound reaches the threshold are verified on the shingle sets themselves.
+lost. Shingles are also hashed into groups: a document's group counts are a point, and the sum of coordinate minima of
+two points bounds the overlap of their sets from above, which rules most pairs of a leaf out before their sets are
+compared. (Boxes over the points don't serve to find candidates: see the README.)
 
 A large leaf is not paired out. Its members are first verified against the one that meets most others; what these
 links join into one component needs no further check. Only members that still lie in different components are then
-compared, by their points, block against block; pairs become rows only if their bound reaches the threshold.
+compared, block against block, with their sets at hand: each task joins components as it finds links, so at most one
+link a member leaves a pair of blocks, and blocks are cut by bytes.
 
 Sets that are equal form a class, so copies cost one row each. A document of fewer words than a shingle has its whole
 sequence as its one shingle; without words (or with a null text) it has none and links with nothing. Rows that repeat
@@ -29,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import attach, components, row_key, slices, stored
+from tickloom.llm.common import attach, carrying, components, gather, row_key, slices, stored
 
 GROUPS = 128
-#: Members of a leaf compared in one block.
-BLOCK = 512
+#: Bytes of a leaf's sets and points that a task holds as one block.
+BLOCK_BYTES = 8 << 20
 #: Members verified in one stream against one copy of their centre.
 PER_CENTRE = 256
 
@@ -150,7 +151,8 @@ def leaf_keys(s: np.ndarray, leaves: Leaves) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, join: Join) -> DataFrame:
-    """Per document: doc_id, n_shingles, digest and node (null without shingles), point, leaves, and _row if ``docs`` has it.
+    """Per document: doc_id, n_shingles, digest and node (null without shingles), point, leaves, text_key (a hash of the
+    text that tells rows of one id apart), and _row if ``docs`` has it.
 
     Leaves are given once for each set that a task meets, so copies, however many, fill no leaf.
     """
@@ -176,9 +178,10 @@ def sketches(docs: DataFrame, join: Join) -> DataFrame:
                 *b.columns[2:],
             ], names=["doc_id", "n_shingles", "digest", "node", "point", "leaves", *more])
 
-    more = [c for c in ("_row",) if c in docs.columns]
+    more = ["text_key", *(c for c in ("_row",) if c in docs.columns)]
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text", *more).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, node long, point binary, leaves array<long>" + ", _row binary" * len(more))
+    rows = docs.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text", *more)
+    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, node long, point binary, leaves array<long>, text_key long" + ", _row binary" * (len(more) - 1))
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, join: Join) -> DataFrame:
@@ -205,8 +208,14 @@ def _side(points: DataFrame, side: str) -> DataFrame:
     return points.select(F.col("node").alias(side), F.col("n_shingles").alias(f"{side}_n"), F.col("point").alias(f"{side}_point"))
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id, text_key, ...) with the text of the rows it names."""
+    named = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
+    return named.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """``pairs`` (centre, member) that are linked. ``nodes``: node, doc_id, digest of one document of each class.
+    """``pairs`` (centre, member) that are linked. ``nodes``: node, doc_id, digest, text_key of one document of each class.
 
     Each centre's members are dealt over parts of about PER_CENTRE; its text goes to each part once, first.
     """
@@ -217,8 +226,8 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) ->
         .select(F.col("member").alias("node"), "centre", F.pmod(F.xxhash64("member"), parts).cast("int").alias("part"), F.lit(1).alias("after"))
     as_centre = counts.select(F.col("centre").alias("node"), "centre", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("after"))
     wanted = as_member.unionByName(as_centre).groupBy("node").agg(F.collect_list(F.struct("centre", "part", "after")).alias("uses")) \
-        .join(nodes, "node").select("doc_id", "digest", "node", "uses")
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "digest", "text", F.explode("uses").alias("use")) \
+        .join(nodes, "node").select("doc_id", "text_key", "digest", "node", "uses")
+    texts = _texts_of(docs, wanted).select("node", "digest", "text", F.explode("uses").alias("use")) \
         .select("use.centre", "use.part", "use.after", "node", "digest", "text")
     rows = texts.repartition("centre", "part").sortWithinPartitions("centre", "part", "after")
 
@@ -244,7 +253,7 @@ def link_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     all_docs = stored(sketches(docs, join), "sketches")
     rows = all_docs.where("node IS NOT NULL")
     # one document lends each class its text
-    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("x")).select("node", "x.*"), "nodes")
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "digest", "text_key")).alias("x")).select("node", "x.*"), "nodes")
     leaves = rows.select("node", F.explode("leaves").alias("leaf"))
     leaf = Window.partitionBy("leaf")
     shared = stored(leaves.withColumns({"least": F.min("node").over(leaf), "most": F.max("node").over(leaf)})
@@ -255,7 +264,7 @@ def link_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
 
     # the member that meets most others is the likeliest to be linked with many
     best = F.max(F.struct("met", "node")).over(leaf)["node"]
-    stars = attach(shared, points.select("node", "met", F.col("met").alias("uses")), "node", "uses").withColumn("centre", best).select("leaf", "node", "centre")
+    stars = attach(shared, points.select("node", "n_shingles", "met", F.col("met").alias("uses")), "node", "uses").withColumn("centre", best).select("leaf", "node", "centre", "n_shingles")
     stars = stored(stars, "stars")
     pairs = stars.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     first = stored(verified(docs, _bounded(pairs, points, join).toDF("centre", "member"), nodes, join), "links")
@@ -263,62 +272,108 @@ def link_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
 
     # leaves whose members are not all joined yet: compare the members that lie apart
     named = stars.join(done, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = named.groupBy("leaf").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y AND members > 2")
-    open_ = stored(named.join(apart.select("leaf", "members"), "leaf"), "open")
+    size = F.sum(8 * F.col("n_shingles") + 4 * GROUPS)
+    apart = named.groupBy("leaf").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"), size.alias("bytes")).where("x <> y AND members > 2")
+    blocks = F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")
+    open_ = stored(named.join(apart.select("leaf", blocks), "leaf"), "open")
     if open_.isEmpty():
         return all_docs, done
-    second = verified(docs, stored(_apart(open_, points, join), "apart").toDF("centre", "member"), nodes, join)
-    second = stored(second, "links")
+    second = stored(_apart(docs, open_, nodes, join), "links")
     return all_docs, done if second.isEmpty() else components(first.unionByName(second))
 
 
-def _apart(open_: DataFrame, points: DataFrame, join: Join) -> DataFrame:
-    """Pairs (a, b) of a leaf's members in different components whose points leave the threshold in reach.
+def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
+    """(node, set) of the classes ``wanted``: node, doc_id, digest, text_key. A set is its sorted hashes."""
+    def run(batches):
+        for t in slices(batches, 2):
+            sets = shingle_sets(t.column(2).cast(pa.binary()).to_pylist(), join.words)
+            own = [(n, s.astype("<u8").tobytes()) for n, d, s in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), sets) if _digest(s) == d]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], names=["node", "set"])
+
+    return _texts_of(docs, wanted).select("node", "digest", "text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+
 
-    A leaf is dealt in blocks of BLOCK members; each pair of blocks is one stream's work, its second block read
-    against the first, so a task holds one block whatever the leaf's size and only pairs in reach become rows.
+class _Block:
+    """Members that wait in a task, and the components that its links have joined so far."""
+
+    def __init__(self, join: Join):
+        self.join, self.members, self.root, self.ids = join, [], {}, None
+
+    def add(self, node: int, component: int, centre: int, s: np.ndarray, p: np.ndarray) -> None:
+        self.members.append((node, component, s, p))
+
+    def close(self) -> None:
+        self.ids, self.comps = (np.array([m[i] for m in self.members], np.int64) for i in (0, 1))
+        self.lens = np.array([len(m[2]) for m in self.members], np.int64)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.flat, self.points = np.concatenate([m[2] for m in self.members]), np.stack([m[3] for m in self.members])
+        self.members = []
+
+    def links(self, node: int, component: int, centre: int, s: np.ndarray, p: np.ndarray, below: bool) -> list[int]:
+        """Members that a link joins to ``node``'s component; ``below``: only those of smaller numbers are met."""
+        if self.ids is None:
+            if not self.members:
+                return []
+            self.close()
+        while component in self.root:
+            component = self.root[component]
+        look = (self.comps != component) & (self.ids != centre)
+        look = np.flatnonzero(look & (self.ids < node) if below else look)
+        if not len(look):
+            return []
+        den, num, n = self.join.den, self.join.num, len(s)
+        most = np.minimum(self.points[look], p).sum(axis=1, dtype=np.int64)
+        look = look[den * most >= num * (self.lens[look] + n - most)]
+        found = []
+        while len(look):
+            # a few at a time: a link spares the rest of its component
+            some, look = look[:64], look[64:]
+            theirs = self.flat[gather(self.starts[some], self.lens[some])]
+            hit = s[np.minimum(np.searchsorted(s, theirs), n - 1)] == theirs
+            inter = np.add.reduceat(hit.astype(np.int64), np.cumsum(self.lens[some]) - self.lens[some])
+            for k in some[den * inter >= num * (self.lens[some] + n - inter)].tolist():
+                old = int(self.comps[k])
+                if old != component:
+                    found.append(int(self.ids[k]))
+                    self.root[old] = component
+                    self.comps[self.comps == old] = component
+            look = look[self.comps[look] != component]
+        return found
+
+
+def _apart(docs: DataFrame, open_: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """Links (a, b) that join all of a leaf's members that linked chains within the leaf join.
+
+    A leaf is dealt in ``blocks`` blocks; each pair of blocks is one stream's work, its second block read against
+    the first, so a task holds one block whatever the leaf's size. A pair that its components, its points or an earlier
+    link of the stream decide is not compared, and only links that join two components become rows.
     """
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    meets = open_.groupBy("node").agg(F.count("*").alias("uses")).join(nodes, "node")
+    sets = stored(_sets(docs, meets.drop("uses"), join), "sets")
+    sets = stored(sets.join(meets.select("node", "uses"), "node"), "sets")
     at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = attach(open_, points.withColumnRenamed("met", "uses"), "node", "uses").withColumn("blocks", blocks).withColumn("at", at)
+    rows = attach(open_, sets, "node", "uses").withColumn("at", at)
     # a member waits in the pairs (at, j) with j >= at, and passes by those that wait in the pairs (i, at) with i <= at
-    waits = rows.select("*", F.explode(F.sequence(F.col("at"), F.col("blocks") - 1)).alias("j")).select("leaf", F.col("at").alias("i"), "j", F.lit(0).alias("passes"), "node", "component", "centre", "n_shingles", "point")
-    passes = rows.select("*", F.explode(F.sequence(F.lit(0), "at")).alias("i")).select("leaf", "i", F.col("at").alias("j"), F.lit(1).alias("passes"), "node", "component", "centre", "n_shingles", "point")
-    dealt = waits.unionByName(passes).repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "passes")
+    columns = ["leaf", "i", "j", "passes", "node", "component", "centre", "set"]
+    waits = rows.withColumns({"i": F.col("at"), "j": F.explode(F.sequence(F.col("at"), F.col("blocks") - 1)), "passes": F.lit(0)}).select(*columns)
+    passes = rows.withColumns({"j": F.col("at"), "i": F.explode(F.sequence(F.lit(0), "at")), "passes": F.lit(1)}).select(*columns)
+    dealt = waits.unionByName(passes).repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "passes", "node")
 
     def run(batches):
-        key, ids, comps, sizes, held = None, [], [], [], []
-        seen: set[tuple[int, int]] = set()
-        for t in batches:
-            left, right = [], []
-            head = [t.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5, 6, 7)]
-            for row, (leaf, i, j, passing, node, comp, centre, n) in enumerate(zip(*head)):
-                p = np.frombuffer(t.column(8)[row].as_buffer(), "<i4")
+        key, block = None, _Block(join)
+        for t in slices(batches, 7):
+            a, b = [], []
+            for leaf, i, j, passing, node, comp, centre, data in zip(*(t.column(k).to_pylist() for k in range(8))):
                 if (leaf, i, j) != key:
-                    key, ids, comps, sizes, held = (leaf, i, j), [], [], [], []
+                    key, block = (leaf, i, j), _Block(join)
+                s = np.frombuffer(data, "<u8")
                 if not passing:
-                    ids.append(node)
-                    comps.append(comp)
-                    sizes.append(n)
-                    held.append(p)
-                    continue
-                if isinstance(held, list):
-                    if not held:
-                        continue
-                    ids, comps, sizes, held = np.array(ids), np.array(comps), np.array(sizes), np.stack(held)
-                look = np.flatnonzero((comps != comp) & (ids != centre) & ((ids < node) if i == j else True))
-                if node == centre or not len(look):
-                    continue
-                most = np.minimum(held[look], p).sum(axis=1, dtype=np.int64)
-                for other in ids[look[join.den * most >= join.num * (sizes[look] + n - most)]].tolist():
-                    pair = (max(node, other), min(node, other))
-                    if pair not in seen:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
-                        seen.add(pair)
-                        left.append(pair[0])
-                        right.append(pair[1])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                    block.add(node, comp, centre, s, point(s))
+                elif node != centre:
+                    found = block.links(node, comp, centre, s, point(s), i == j)
+                    a += [node] * len(found)
+                    b += found
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -336,6 +391,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     return some.unionByName(none)
 
 
+@carrying("doc_id", "text")
 def drop_near_copies(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """``docs`` with one row of each group, that with the smallest doc_id, null ids last; all columns.
 
