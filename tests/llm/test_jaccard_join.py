@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tickloom.llm import jaccard_join
-from tickloom.llm.jaccard_join import Join, Leaves, drop_near_copies, leaf_keys, near_duplicates, point, shingle_sets
+from tickloom.llm.jaccard_join import Join, Leaves, drop_near_copies, leaf_keys, near_duplicates, shingle_sets
 
 
 def brute(rows, join):
@@ -100,10 +100,10 @@ def test_a_block_gives_one_link_a_join():
     """What a pass over all members gives is a forest that joins the components of all linked pairs."""
     join, rows = Join(3, 4, 5), scattered(200)
     sets = shingle_sets([t.encode() for _, t in rows], join.words)
-    block = jaccard_join._Block(join)
+    block = jaccard_join._Block(join, -1)
     for i, s in enumerate(sets):
-        block.add(i, i, -1, s, point(s))
-    links = [(i, j) for i, s in enumerate(sets) for j in block.links(i, i, -1, s, point(s), True)]
+        block.add(i, i, s)
+    links = block.among()
     root = list(range(len(sets)))
 
     def find(i):

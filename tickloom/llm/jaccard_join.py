@@ -7,9 +7,9 @@ lost. Shingles are also hashed into groups: a document's group counts are a poin
 two points bounds the overlap of their sets from above, which rules most pairs of a leaf out before their sets are
 compared. (Boxes over the points don't serve to find candidates: see the README.)
 
-A large leaf is not paired out. Its members are first verified against the one that meets most others; what these
-links join into one component needs no further check. Only members that still lie in different components are then
-compared, block against block, with their sets at hand: each task joins components as it finds links, so at most one
+A large leaf is not paired out. Its members are first verified against its centre, the one that meets most others; what
+these links join into one component needs no further check. Only where members of a centre's leaves still lie in
+different components are they compared with each other, block against block, with their sets at hand: each task joins components as it finds links, so at most one
 link a member leaves a pair of blocks, and blocks are cut by bytes.
 
 Sets that are equal form a class, so copies cost one row each. A document of fewer words than a shingle has its whole
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import attach, carrying, components, gather, row_key, slices, stored
 
 GROUPS = 128
-#: Bytes of a leaf's sets and points that a task holds as one block.
+#: Bytes of a group's sets and points that a task holds as one block.
 BLOCK_BYTES = 8 << 20
 #: Members verified in one stream against one copy of their centre.
 PER_CENTRE = 256
@@ -270,12 +270,13 @@ def link_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     first = stored(verified(docs, _bounded(pairs, points, join).toDF("centre", "member"), nodes, join), "links")
     done = stored(components(first), "done")
 
-    # leaves whose members are not all joined yet: compare the members that lie apart
-    named = stars.join(done, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # the leaves of a centre together, where their members are not all joined yet: compare those that lie apart
+    met = stars.select("centre", "node", "n_shingles").distinct()
+    named = met.join(done, "node", "left").withColumn("component", F.coalesce("component", "node"))
     size = F.sum(8 * F.col("n_shingles") + 4 * GROUPS)
-    apart = named.groupBy("leaf").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"), size.alias("bytes")).where("x <> y AND members > 2")
+    apart = named.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"), size.alias("bytes")).where("x <> y AND members > 2")
     blocks = F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")
-    open_ = stored(named.join(apart.select("leaf", blocks), "leaf"), "open")
+    open_ = stored(named.join(apart.select("centre", blocks), "centre"), "open")
     if open_.isEmpty():
         return all_docs, done
     second = stored(_apart(docs, open_, nodes, join), "links")
@@ -294,35 +295,33 @@ def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
 
 
 class _Block:
-    """Members that wait in a task, and the components that its links have joined so far."""
+    """Members of a centre's group that wait in a task, and the components that its links have joined so far."""
 
-    def __init__(self, join: Join):
-        self.join, self.members, self.root, self.ids = join, [], {}, None
+    def __init__(self, join: Join, centre: int):
+        self.join, self.centre, self.members, self.root, self.ids = join, centre, [], {}, None
 
-    def add(self, node: int, component: int, centre: int, s: np.ndarray, p: np.ndarray) -> None:
-        self.members.append((node, component, s, p))
+    def add(self, node: int, component: int, s: np.ndarray) -> None:
+        self.members.append((node, component, s, point(s)))
 
-    def close(self) -> None:
+    def _close(self) -> None:
         self.ids, self.comps = (np.array([m[i] for m in self.members], np.int64) for i in (0, 1))
         self.lens = np.array([len(m[2]) for m in self.members], np.int64)
         self.starts = np.cumsum(self.lens) - self.lens
         self.flat, self.points = np.concatenate([m[2] for m in self.members]), np.stack([m[3] for m in self.members])
         self.members = []
 
-    def links(self, node: int, component: int, centre: int, s: np.ndarray, p: np.ndarray, below: bool) -> list[int]:
-        """Members that a link joins to ``node``'s component; ``below``: only those of smaller numbers are met."""
+    def links(self, node: int, component: int, s: np.ndarray, ahead: int | None = None) -> list[tuple[int, int]]:
+        """Links that join ``node``'s component with those of members, of the first ``ahead`` ones if given. The centre has
+        been compared with all members before."""
         if self.ids is None:
-            if not self.members:
-                return []
-            self.close()
+            self._close()
         while component in self.root:
             component = self.root[component]
-        look = (self.comps != component) & (self.ids != centre)
-        look = np.flatnonzero(look & (self.ids < node) if below else look)
+        look = np.flatnonzero((self.comps[:ahead] != component) & (self.ids[:ahead] != self.centre)) if node != self.centre else ()
         if not len(look):
             return []
         den, num, n = self.join.den, self.join.num, len(s)
-        most = np.minimum(self.points[look], p).sum(axis=1, dtype=np.int64)
+        most = np.minimum(self.points[look], point(s)).sum(axis=1, dtype=np.int64)
         look = look[den * most >= num * (self.lens[look] + n - most)]
         found = []
         while len(look):
@@ -334,50 +333,64 @@ class _Block:
             for k in some[den * inter >= num * (self.lens[some] + n - inter)].tolist():
                 old = int(self.comps[k])
                 if old != component:
-                    found.append(int(self.ids[k]))
+                    found.append((node, int(self.ids[k])))
                     self.root[old] = component
                     self.comps[self.comps == old] = component
             look = look[self.comps[look] != component]
         return found
 
+    def among(self) -> list[tuple[int, int]]:
+        """Links that join the members' components with each other."""
+        self._close()
+        sets = np.split(self.flat, self.starts[1:])
+        return [x for k in range(1, len(self.ids)) for x in self.links(int(self.ids[k]), int(self.comps[k]), sets[k], k)]
+
 
 def _apart(docs: DataFrame, open_: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """Links (a, b) that join all of a leaf's members that linked chains within the leaf join.
+    """Links (a, b) that join all members of a centre's leaves that chains of links among them join.
 
-    A leaf is dealt in ``blocks`` blocks; each pair of blocks is one stream's work, its second block read against
-    the first, so a task holds one block whatever the leaf's size. A pair that its components, its points or an earlier
-    link of the stream decide is not compared, and only links that join two components become rows.
+    Two members of a leaf are both in its centre's group, where each comes once, however many leaves it shares with the
+    centre. A group is dealt in ``blocks`` blocks. Each block is compared within itself, and each pair of blocks is one
+    stream's work, its second block read against the first, so a task holds one block whatever the group's size. A pair
+    that its components, its points or an earlier link of the stream decide is not compared, and only links that join
+    two components become rows.
     """
-    meets = open_.groupBy("node").agg(F.count("*").alias("uses")).join(nodes, "node")
-    sets = stored(_sets(docs, meets.drop("uses"), join), "sets")
-    sets = stored(sets.join(meets.select("node", "uses"), "node"), "sets")
+    meets = stored(open_.groupBy("node").agg(F.count("*").alias("uses")).join(nodes, "node"), "meets")
+    sets = stored(_sets(docs, meets.drop("uses"), join).join(meets.select("node", "uses"), "node"), "sets")
     at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = attach(open_, sets, "node", "uses").withColumn("at", at)
-    # a member waits in the pairs (at, j) with j >= at, and passes by those that wait in the pairs (i, at) with i <= at
-    columns = ["leaf", "i", "j", "passes", "node", "component", "centre", "set"]
-    waits = rows.withColumns({"i": F.col("at"), "j": F.explode(F.sequence(F.col("at"), F.col("blocks") - 1)), "passes": F.lit(0)}).select(*columns)
-    passes = rows.withColumns({"j": F.col("at"), "i": F.explode(F.sequence(F.lit(0), "at")), "passes": F.lit(1)}).select(*columns)
-    dealt = waits.unionByName(passes).repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "passes", "node")
+    rows = attach(open_.withColumn("at", at), sets, "node", "uses")
+    columns = ["centre", "i", "j", "passes", "node", "component", "set"]
+    # a member waits in its own block and in the pairs (at, j) with j > at, and passes by the blocks i < at
+    places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
+        F.least("at", k).alias("i"), F.greatest("at", k).alias("j"), (k < F.col("at")).cast("int").alias("passes")))
+    dealt = rows.withColumn("place", F.explode(places)).select("*", "place.*").select(*columns) \
+        .repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "passes", "node")
 
     def run(batches):
-        key, block = None, _Block(join)
-        for t in slices(batches, 7):
-            a, b = [], []
-            for leaf, i, j, passing, node, comp, centre, data in zip(*(t.column(k).to_pylist() for k in range(8))):
-                if (leaf, i, j) != key:
-                    key, block = (leaf, i, j), _Block(join)
+        key, block = None, None
+        for t in slices(batches, 6):
+            found = []
+            for centre, i, j, passing, node, comp, data in zip(*(t.column(k).to_pylist() for k in range(7))):
+                if (centre, i, j) != key:
+                    if key is not None and key[1] == key[2]:
+                        found += block.among()
+                    key, block = (centre, i, j), _Block(join, centre)
                 s = np.frombuffer(data, "<u8")
                 if not passing:
-                    block.add(node, comp, centre, s, point(s))
-                elif node != centre:
-                    found = block.links(node, comp, centre, s, point(s), i == j)
-                    a += [node] * len(found)
-                    b += found
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    block.add(node, comp, s)
+                elif block.ids is not None or block.members:
+                    found += block.links(node, comp, s)
+            yield _pairs(found)
+        if key is not None and key[1] == key[2]:
+            yield _pairs(block.among())
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     all_docs, linked = link_classes(docs, join)
