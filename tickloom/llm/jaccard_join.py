@@ -37,6 +37,8 @@ GROUPS = 128
 BLOCK_BYTES = 8 << 20
 #: Members verified in one stream against one copy of their centre.
 PER_CENTRE = 256
+#: Uses of a set that one copy of it serves.
+PER_SET = 1_024
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -214,10 +216,20 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return named.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """``pairs`` (centre, member) that are linked. ``nodes``: node, doc_id, digest, text_key of one document of each class.
+def _with_sets(uses: DataFrame, sets: DataFrame) -> DataFrame:
+    """``uses`` (node, ...) with each node's set. A node of many uses is dealt over chunks of about PER_SET, each of which
+    its set goes to once, so neither its uses nor its set meet in one task and no set is broadcast."""
+    counts = stored(uses.groupBy("node").agg(F.count("*").alias("uses")), "uses")
+    chunks = F.ceil(F.col("uses") / F.lit(PER_SET)).cast("int")
+    left = attach(uses, counts, "node", "uses").withColumn("chunk", F.pmod(F.xxhash64(*uses.columns), chunks).cast("int")).drop("uses")
+    right = sets.join(counts, "node").select("node", "set", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    return left.join(right, ["node", "chunk"]).drop("chunk")
 
-    Each centre's members are dealt over parts of about PER_CENTRE; its text goes to each part once, first.
+
+def verified(sets: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
+    """``pairs`` (centre, member) that are linked. ``sets``: node and set of each class that a pair names.
+
+    Each centre's members are dealt over parts of about PER_CENTRE; its set goes to each part once, first.
     """
     pairs = stored(pairs.select("centre", "member"), "pairs")
     counts = stored(pairs.groupBy("centre").agg(F.count("*").alias("members")), "centres")
@@ -225,25 +237,21 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) ->
     as_member = attach(pairs, counts, "centre", "members") \
         .select(F.col("member").alias("node"), "centre", F.pmod(F.xxhash64("member"), parts).cast("int").alias("part"), F.lit(1).alias("after"))
     as_centre = counts.select(F.col("centre").alias("node"), "centre", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("after"))
-    wanted = as_member.unionByName(as_centre).groupBy("node").agg(F.collect_list(F.struct("centre", "part", "after")).alias("uses")) \
-        .join(nodes, "node").select("doc_id", "text_key", "digest", "node", "uses")
-    texts = _texts_of(docs, wanted).select("node", "digest", "text", F.explode("uses").alias("use")) \
-        .select("use.centre", "use.part", "use.after", "node", "digest", "text")
-    rows = texts.repartition("centre", "part").sortWithinPartitions("centre", "part", "after")
+    uses = stored(as_member.unionByName(as_centre), "dealt")
+    rows = _with_sets(uses, sets).select("centre", "part", "after", "node", "set") \
+        .repartition("centre", "part").sortWithinPartitions("centre", "part", "after")
 
     def run(batches):
         key, centre = None, np.empty(0, dtype=np.uint64)
-        for t in slices(batches, 5):
+        for t in slices(batches, 4):
             found = []
-            sets = shingle_sets(t.column(5).cast(pa.binary()).to_pylist(), join.words)
-            for c, p, after, node, digest, s in zip(*(t.column(i).to_pylist() for i in range(5)), sets):
-                if _digest(s) != digest:  # another row with this doc_id
-                    continue
+            for c, p, after, node, data in zip(*(t.column(i).to_pylist() for i in range(5))):
+                s = np.frombuffer(data, "<u8")
                 if not after:
                     key, centre = (c, p), s
                 elif key == (c, p) and join.linked(len(np.intersect1d(centre, s, assume_unique=True)), len(centre), len(s)):
                     found.append((c, node))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield _pairs(found)
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -261,13 +269,15 @@ def link_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     weights = shared.groupBy("node").agg(F.count("*").alias("met"))
     points = rows.select("node", "n_shingles", "point").dropDuplicates(["node"]).join(weights, "node").select("node", "n_shingles", "point", "met")
     points = stored(points, "points")
+    # the only place that reads texts again: sets of the classes that share a leaf, once each
+    sets = stored(_sets(docs, points.select("node").join(nodes, "node"), join), "sets")
 
     # the member that meets most others is the likeliest to be linked with many
     best = F.max(F.struct("met", "node")).over(leaf)["node"]
     stars = attach(shared, points.select("node", "n_shingles", "met", F.col("met").alias("uses")), "node", "uses").withColumn("centre", best).select("leaf", "node", "centre", "n_shingles")
     stars = stored(stars, "stars")
     pairs = stars.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    first = stored(verified(docs, _bounded(pairs, points, join).toDF("centre", "member"), nodes, join), "links")
+    first = stored(verified(sets, _bounded(pairs, points, join).toDF("centre", "member"), join), "links")
     done = stored(components(first), "done")
 
     # the leaves of a centre together, where their members are not all joined yet: compare those that lie apart
@@ -279,7 +289,7 @@ def link_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     open_ = stored(named.join(apart.select("centre", blocks), "centre"), "open")
     if open_.isEmpty():
         return all_docs, done
-    second = stored(_apart(docs, open_, nodes, join), "links")
+    second = stored(_apart(sets, open_, join), "links")
     return all_docs, done if second.isEmpty() else components(first.unionByName(second))
 
 
@@ -346,7 +356,7 @@ class _Block:
         return [x for k in range(1, len(self.ids)) for x in self.links(int(self.ids[k]), int(self.comps[k]), sets[k], k)]
 
 
-def _apart(docs: DataFrame, open_: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+def _apart(sets: DataFrame, open_: DataFrame, join: Join) -> DataFrame:
     """Links (a, b) that join all members of a centre's leaves that chains of links among them join.
 
     Two members of a leaf are both in its centre's group, where each comes once, however many leaves it shares with the
@@ -355,10 +365,8 @@ def _apart(docs: DataFrame, open_: DataFrame, nodes: DataFrame, join: Join) -> D
     that its components, its points or an earlier link of the stream decide is not compared, and only links that join
     two components become rows.
     """
-    meets = stored(open_.groupBy("node").agg(F.count("*").alias("uses")).join(nodes, "node"), "meets")
-    sets = stored(_sets(docs, meets.drop("uses"), join).join(meets.select("node", "uses"), "node"), "sets")
     at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = attach(open_.withColumn("at", at), sets, "node", "uses")
+    rows = _with_sets(open_.withColumn("at", at), sets)
     columns = ["centre", "i", "j", "passes", "node", "component", "set"]
     # a member waits in its own block and in the pairs (at, j) with j > at, and passes by the blocks i < at
     places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
