@@ -114,3 +114,26 @@ def test_entry_imports_without_the_text_package(tmp_path):
     repo = Path(__file__).resolve().parent.parent
     code = f"import sys; sys.modules['tickloom.llm'] = None; sys.modules['corpus_pipeline'] = None; sys.path.insert(0, {str(repo)!r}); import __spark_entry__ as e; assert 'sma' in e.queries() and not [q for q in e.queries() if q.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_ranks_follow_the_sql_form_to_the_last_bit(spark):
+    import duckdb
+    import random
+
+    from tickloom.operators import joins
+
+    # of 101 values, the percentiles 29, 57 and 58 stand a last bit under a value
+    draw, rows = random.Random(1), []
+    for day in range(60):
+        caps = [round(draw.uniform(40, 60), 2) * draw.randint(1, 1000) * 100.0 for _ in range(101)]
+        rows += [(n, day, cap if day < 50 else draw.choice(caps)) for n, cap in enumerate(caps)]
+    bars = spark.createDataFrame(rows + [(101, 0, None)], "code int, dt int, mkt_cap double")
+    got = {(r.code, r.dt): r.mkt_cap_rank for r in joins.mkt_cap_rank(bars).collect()}
+    assert got.pop((101, 0)) is None
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE c (code INT, dt INT, cap DOUBLE)")
+    con.executemany("INSERT INTO c VALUES (?, ?, ?)", rows)
+    want = con.execute("""WITH q AS (SELECT dt, quantile_cont(cap, [x/100e0 for x in range(100)]) AS lv FROM c GROUP BY dt)
+SELECT code, dt, len(list_filter(lv, lambda y: y < cap))/100e0 FROM c JOIN q USING (dt)""").fetchall()
+    assert got == {(code, day): rank for code, day, rank in want}

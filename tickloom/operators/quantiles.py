@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SPLITS = 32
 
@@ -20,20 +20,17 @@ def _ranked(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, DataFr
     steps = [i / SPLITS for i in range(1, SPLITS)]
     cuts = counts.groupBy(*by).agg(F.percentile_approx("_v", steps, 1_000).alias("_cuts"))
     split = counts.join(cuts, by).withColumn("_s", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    totals = split.groupBy(*by, "_s").agg(F.sum("_c").alias("_t"), F.max("_v").alias("_top"))
+    totals = split.groupBy(*by, "_s").agg(F.sum("_c").alias("_t"))
     order = Window.partitionBy(*by).orderBy("_s")
     bases = totals.select(
         *by,
         "_s",
         "_t",
         F.coalesce(F.sum("_t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
-        F.lag("_top").over(order).alias("_under"),
         F.sum("_t").over(Window.partitionBy(*by)).alias("n"),
     )
     inside = Window.partitionBy(*by, "_s").orderBy("_v")
-    local = split.withColumns(
-        {"_local": F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_previous": F.lag("_v").over(inside)}
-    )
+    local = split.withColumn("_local", F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     return local, bases
 
 
@@ -48,8 +45,8 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: Sequence[
     wanted = F.filter(
         F.array_distinct(F.concat(lower, upper)), lambda k: (k >= F.col("_base")) & (k < F.col("_base") + F.col("_t"))
     )
-    bases = bases.withColumn("_wanted", wanted).drop("_t", "_under")
-    ranked = local.drop("_previous").join(bases, [*by, "_s"])
+    bases = bases.withColumn("_wanted", wanted).drop("_t")
+    ranked = local.join(bases, [*by, "_s"])
     upto = F.col("_base") + F.col("_local")
     covered = F.filter("_wanted", lambda k: (k >= upto - F.col("_c")) & (k < upto))
     hits = ranked.select(*by, "n", F.col("_v").cast("double").alias("_v"), F.explode(covered).alias("_k"))
@@ -61,31 +58,50 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: Sequence[
         exact = last * p
         low = F.element_at("_at", F.floor(exact))
         high = F.element_at("_at", F.least(F.floor(exact) + 1, last))
-        return low + (high - low) * (exact - F.floor(exact))
+        return _interpolated(low, high, exact - F.floor(exact))
 
     return found.select(*by, "n", F.transform(levels, interpolated).alias(out))
 
 
-def percentiles_below(df: DataFrame, by: list[str], value: str, steps: int = 100, out: str = "below") -> DataFrame:
-    """(by..., value, out): how many of the ``steps`` evenly spaced percentiles (0, 1/steps, ...) of the group lie
-    strictly below each distinct value.
+def _interpolated(low: Column, high: Column, part: Column) -> Column:
+    """``low * (1 - part) + high * part``, the first product unrounded (a fused multiply-add), as the SQL form
+    computes it: a percentile that all but meets a value lies below it or not by the last bit."""
+    rest, added = F.lit(1.0) - part, high * part
+    product = low * rest
+    (a, b), (c, d) = _halves(low), _halves(rest)
+    lost = b * d - (((product - a * c) - b * c) - a * d)
+    total = product + added
+    grown = total - product
+    dropped = (product - (total - grown)) + (added - grown)
+    # the halves of huge values overflow
+    return F.nanvl(total + (dropped + lost), total)
 
-    Percentiles rise with their position, so this follows from the number of smaller values: a position below
-    it counts. Only the positions next to that number need to be interpolated, and no percentile is stored.
-    """
-    local, bases = _ranked(df, by, value)
-    ranked = local.join(bases.drop("_t"), [*by, "_s"])
-    smaller = F.col("_base") + F.col("_local") - F.col("_c")
-    previous = F.coalesce("_previous", "_under")
-    last = F.col("n") - 1
 
-    def counts(i):
-        place = last * (i / F.lit(float(steps)))
-        low = F.floor(place)
-        between = previous + (F.col("_v") - previous) * (place - low)
-        return F.when((i < 0) | (low < smaller - 1), 1).when(low >= smaller, 0).otherwise((between < F.col("_v")).cast("int"))
+def _halves(x: Column) -> tuple[Column, Column]:
+    """A double as the sum of two of 26 bits, whose products are exact."""
+    wide = x * F.lit(float(2**27 + 1))
+    upper = wide - (wide - x)
+    return upper, x - upper
 
-    guess = F.coalesce(F.floor(F.try_divide(smaller * F.lit(float(steps)), last)), F.lit(0))
-    total = guess - 1 + counts(guess - 1) + counts(guess) + counts(guess + 1)
-    bounded = F.when(smaller == 0, 0).otherwise(F.least(F.lit(steps), total)).cast("int")
-    return ranked.select(*by, F.col("_v").alias(value), bounded.alias(out))
+
+def percentiles_below(df: DataFrame, ranked: DataFrame, by: list[str], value: str, steps: int = 100, out: str = "below") -> DataFrame:
+    """Add ``out`` to ``df``: how many of the ``steps`` evenly spaced percentiles (0, 1/steps, ...) of the group in
+    ``ranked`` lie strictly below the row's value. NULL for a NULL value and for groups that are not in ``ranked``.
+
+    A group's percentiles travel as one array, sorted, since rounding can turn neighbours around; rows bisect it.
+    """
+    levels = exact_percentiles(ranked, by, value, [i / steps for i in range(steps)], "_levels")
+    levels = levels.select(*by, F.sort_array("_levels").alias("_levels"))
+    start = F.struct(F.lit(0).alias("low"), F.lit(steps).alias("high"))
+
+    def bisect(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        done = at["low"] >= at["high"]
+        under = F.coalesce(F.try_element_at("_levels", middle + 1) < F.col(value), F.lit(False))
+        low = F.when(~done & under, middle + 1).otherwise(at["low"])
+        high = F.when(~done & ~under, middle).otherwise(at["high"])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps.bit_length())), start, bisect, lambda at: at["low"])
+    known = F.col(value).isNotNull() & F.col("_levels").isNotNull()
+    return df.join(levels, by, "left").withColumn(out, F.when(known, found)).drop("_levels")
