@@ -1,5 +1,6 @@
 """The index of runs against testing every run, and searches that runs share."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -79,3 +80,12 @@ def test_runs_share_searches(spark):
     assert sorted(one.columns) == sorted(same.columns) and key(one) == key(same)
     with pytest.raises(ValueError):
         exits.shared_exits(signals, bars, 1.0, 1.0, exits.RANDOM)
+
+
+def test_exit_searches_broadcast_no_stored_table(spark):
+    rows = [("a", dt.date(2024, 1, 1) + dt.timedelta(days=i), 10.0 + i, 11.0 + i, 9.0 + i, 10.0 + i) for i in range(40)]
+    bars = spark.createDataFrame(rows, "code string, dt date, open double, high double, low double, close double")
+    signals = bars.where(F.col("close") < 30).select("code", "dt", F.col("close").alias("order_price"), F.explode(F.array(F.lit("r1"), F.lit("r2"))).alias("run_id"))
+    found = exits.shared_exits(signals, bars, 50.0, 20.0)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 40 and found.where("action = 'TAKE_PROFIT'").count() == 40

@@ -9,7 +9,7 @@ triggers. Nodes that fail the conditions of all rules are left unread; a rule th
 
 So a position meets at most twice the bars up to its exit, and a node's row in place of its bars where summaries tell.
 Rounds grow with the logarithm of the longest search. Joins are on (code, node), so a long code is spread over its nodes.
-Each round's hits and open positions are written to the shared folder.
+Each round's hits and open positions are written to the shared folder. Joins are merge joins by hint, as in ``exits``.
 """
 
 from __future__ import annotations
@@ -98,24 +98,24 @@ def rule_exit(
 
     ends = nodes.groupBy("_c").agg(F.max("_node").alias("_last"))
     places = numbered.select(bar(CODE).alias(CODE), bar(DT).alias(DT), bar(POS).alias("_pos"))
-    entries = signals.join(places, [CODE, DT]).withColumn("_id", F.monotonically_increasing_id())
+    entries = signals.join(places.hint("merge"), [CODE, DT]).withColumn("_id", F.monotonically_increasing_id())
     entries = stored(entries, "entries")
     searching = entries.join(ends, F.col(CODE) == F.col("_c")).drop("_c").withColumn("_at", F.floor((F.col("_pos") + 1) / FANOUT))
     searching, width, hits = stored(searching.where(F.col("_at") <= F.col("_last")), "searching"), 1, []
     while not searching.isEmpty():
         window = F.sequence("_at", F.least(F.col("_at") + (width - 1), F.col("_last")))
-        visits = searching.withColumn("_node", F.explode(window)).withColumn("_c", F.col(CODE)).join(nodes, ["_c", "_node"]).where(may)
-        met = visits.select(*entries.columns, "_node").join(numbered.withColumnRenamed("_node", "_n"), (F.col(CODE) == bar(CODE)) & (F.col("_node") == F.col("_n")))
+        visits = searching.withColumn("_node", F.explode(window)).withColumn("_c", F.col(CODE)).join(nodes.hint("merge"), ["_c", "_node"]).where(may)
+        met = visits.select(*entries.columns, "_node").join(numbered.withColumnRenamed("_node", "_n").hint("merge"), (F.col(CODE) == bar(CODE)) & (F.col("_node") == F.col("_n")))
         found = met.where((bar(POS) > F.col("_pos")) & triggered).groupBy("_id").agg(F.min(bar(POS)).alias("_hit"))
         hits.append(stored(found, "hits"))
-        left = searching.join(hits[-1], "_id", "left_anti").withColumn("_at", F.col("_at") + width)
+        left = searching.join(hits[-1].hint("merge"), "_id", "left_anti").withColumn("_at", F.col("_at") + width)
         searching, width = stored(left.where(F.col("_at") <= F.col("_last")), "searching"), width * 2
 
     exits = reduce(DataFrame.unionByName, hits) if hits else entries.select("_id", F.lit(None).cast("bigint").alias("_hit")).limit(0)
-    placed = entries.join(exits, "_id", "left")
+    placed = entries.join(exits.hint("merge"), "_id", "left")
     # open positions get a place of their own, below all bars
     place = F.coalesce(F.col("_hit"), -1 - F.col("_id"))
-    joined = placed.join(numbered.drop("_node"), (F.col(CODE) == bar(CODE)) & (place == bar(POS)), "left")
+    joined = placed.join(numbered.drop("_node").hint("merge"), (F.col(CODE) == bar(CODE)) & (place == bar(POS)), "left")
     sold = joined.withColumns({"_stop": price["stop"], "_take": price["take"], "exit_dt": bar(DT)})
     toss = S.uniform(CODE, DT, "exit_dt", *run_keys, seed=seed) <= 0.5
     prefer_stop = {SL_FIRST: F.lit(True), TP_FIRST: F.lit(False), RANDOM: toss}[order_policy]
