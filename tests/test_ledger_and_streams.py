@@ -57,6 +57,27 @@ def test_late_record_does_not_reopen_an_order(spark):
     assert {r.id for r in run_to_table(out, new_dir(spark, "expired")).collect()} == {"b", "z"}
 
 
+def test_orders_expire_without_a_python_call_per_order(spark):
+    """An order closed only after its time to live was open when it expired; one closed on the last moment was not."""
+    records = orders_of(spark, order("late", 5, 10, placed=5), order("late", 80, 10, 10, "filled", placed=5), order("kept", 5, 10, placed=5),
+                        order("kept", 65, 10, 10, "filled", placed=5), order("young", 99_941, 10, placed=99_941), order("tie", 99_940, 10, placed=99_940))
+    later = orders_of(spark, order("y", 100_000, 10, 10, "filled", placed=100_000))
+    out = live.expiring_orders(stream_of(spark, records, later), 60)
+    assert "Pandas" not in out._jdf.queryExecution().analyzed().toString()
+    found = run_to_table(out, new_dir(spark, "expired")).collect()
+    assert [(r.id, (r.expired_at - r.timestamp).total_seconds()) for r in found] == [("late", 60.0)]
+
+
+def test_streamed_rows_are_written_where_they_are(spark, small):
+    from tickloom.workload.streams import restreamed
+    from tickloom.workload.views import Views
+
+    stream = restreamed(Views(spark, small), spark.range(0, 1_000, 1, 16).toDF("n"), "parts")
+    sizes = []
+    run_batches(stream, lambda batch, _: sizes.append((batch.select(F.input_file_name()).distinct().count(), batch.count())), new_dir(spark, "parts-run"))
+    assert sorted(sizes) == [(8, 500), (8, 500)]
+
+
 def test_missing_order_state_fails(spark):
     batch = orders_of(spark, order("a", 5, 10))
     held = spark.createDataFrame([("P", "c", 10.0, 100, 10.0)], "id string, code string, price double, yesterday_vol long, latest_price double")

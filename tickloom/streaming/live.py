@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tickloom.functions import orders as O
@@ -97,51 +95,26 @@ def close_monitor_sink(
 
 # -- orders ------------------------------------------------------------------------------------------------------------
 
-_EXPIRED = "id string, code {code}, direction string, price double, timestamp timestamp, expired_at timestamp"
-_LATEST = "code {code}, direction string, price double, placed bigint, seen bigint, open boolean"
-
-
 def expiring_orders(orders: DataFrame, ttl_seconds: int, delay: str = "0 seconds") -> DataFrame:
     """Emit each order that is still open ``ttl_seconds`` of event time after it was placed.
 
-    One small state per order id holds the latest record by event time, so a late record never reopens an order that
-    was filled or cancelled. The state ends when the watermark has passed the order's time to live.
+    The records of an order are one session window: each reaches from its event time until just after the order's time to
+    live, so all before that end merge, and the state holds only their latest by event time. A late record never
+    reopens an order that was filled or cancelled. The window ends when the watermark has passed the time to live;
+    a record from after it is a window of its own, and what it says doesn't change what the order was when it expired.
     """
-    events = orders.select("id", "code", "direction", "price", "timestamp", "event_ts", O.is_open().alias("open"))
-
-    code_type = dict(events.dtypes)[CODE]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            code, side, price, placed, _, still_open = state.get
-            state.remove()
-            if still_open:
-                at = pd.Timestamp(placed, unit="us")
-                yield pd.DataFrame(
-                    {"id": [key[0]], "code": [code], "direction": [side], "price": [price], "timestamp": [at],
-                     "expired_at": [at + pd.Timedelta(seconds=ttl_seconds)]}
-                )
-            return
-        latest = state.get if state.exists else None
-        for rows in batches:
-            # of records with one event time, a closing one wins
-            last = rows.sort_values(["event_ts", "open"], ascending=[True, False]).iloc[-1]
-            seen = _micros(last["event_ts"])
-            if latest is None or seen > latest[4] or (seen == latest[4] and not last["open"]):
-                placed = _micros(last["timestamp"]) if latest is None else latest[3]
-                latest = (last["code"], last["direction"], float(last["price"]), placed, seen, bool(last["open"]))
-        state.update(latest)
-        state.setTimeoutTimestamp(max(latest[3] // 1_000 + ttl_seconds * 1_000, state.getCurrentWatermarkMs() + 1))
-
-    return (
-        events.withWatermark("event_ts", delay)
-        .groupBy("id")
-        .applyInPandasWithState(step, _EXPIRED.format(code=code_type), _LATEST.format(code=code_type), "append", GroupStateTimeout.EventTimeTimeout)
+    events = orders.select("id", CODE, "direction", "price", "timestamp", "event_ts", O.is_open().alias("open"))
+    placed, seen = F.unix_micros("timestamp"), F.unix_micros("event_ts")
+    # one microsecond more: an order expires when the watermark has passed its time to live, not when it meets it
+    until = F.greatest(placed + F.lit(ttl_seconds * 1_000_000), seen) + 1
+    gap = F.make_interval(secs=(until - seen).cast("decimal(24,6)") / F.lit(1_000_000).cast("decimal(7,0)"))
+    # of records with one event time, a closing one wins
+    order = F.struct("event_ts", ~F.col("open"))
+    last = events.withWatermark("event_ts", delay).groupBy("id", F.session_window("event_ts", gap)).agg(
+        F.max_by(F.struct(CODE, "direction", "price", "open"), order).alias("_last"), F.min("timestamp").alias("timestamp")
     )
-
-
-def _micros(at: pd.Timestamp) -> int:
-    return int(at.value) // 1_000
+    expired_at = F.timestamp_micros(F.unix_micros("timestamp") + F.lit(ttl_seconds * 1_000_000))
+    return last.where("_last.open").select("id", *[F.col("_last")[c].alias(c) for c in (CODE, "direction", "price")], "timestamp", expired_at.alias("expired_at"))
 
 
 def not_at_best_price(expired: DataFrame, ask_bid: DataFrame) -> DataFrame:

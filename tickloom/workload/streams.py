@@ -24,11 +24,13 @@ def tick_stream(v: Views) -> DataFrame:
     return raw.select(F.col("user_id").alias(CODE), "ts", F.col("value").alias("close"))
 
 
-def restreamed(v: Views, df: DataFrame, name: str, files: int = 2) -> DataFrame:
-    """The rows as a stream of several micro-batches."""
+def restreamed(v: Views, df: DataFrame, name: str, batches: int = 2) -> DataFrame:
+    """The rows as a stream of several micro-batches. Rows are written where they are, in as many files as the input has
+    parts, so neither writing nor a micro-batch is the work of a few tasks."""
     path = new_dir(v.spark, name)
-    df.repartition(files).write.parquet(path)
-    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    df.write.parquet(path)
+    files = len(v.spark.read.schema(df.schema).parquet(path).inputFiles())
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
 
 
 def finished(v: Views, stream: DataFrame, name: str) -> DataFrame:
