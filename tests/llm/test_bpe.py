@@ -36,6 +36,20 @@ def test_perfect_hash_is_minimal():
     assert [OWN.keys[k] for k in OWN.whole.find(OWN.keys[:500])] == OWN.keys[:500]
 
 
+def test_frequent_words_are_merged_once(monkeypatch):
+    """A word that keeps coming stays known while rare ones fill the cache many times over."""
+    own, merged = bpe.Bpe(RANKS, public_tokenizers.PATTERN), []
+    real = bpe.Bpe.merge
+    monkeypatch.setattr(bpe.Bpe, "merge", lambda self, piece: merged.append(piece) or real(self, piece))
+    own.cache = bpe.Cache(20)
+    for k in range(50):
+        rare = " ".join(f"qzx{chr(97 + k % 26)}{chr(97 + k // 26)}vjw{c}" for c in "abcdefghij")
+        text = f" zqxjkvwpfb {rare}"
+        assert own.encode([text])[0].tolist() == OTHER.encode_ordinary(text)
+    assert merged.count(b" zqxjkvwpfb") == 1 and len(merged) > 200
+    assert len(own.cache.young) <= 20 and len(own.cache.old) <= 20
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, None, 7), (2, "", 7), (3, "Hello  world", 8), (3, "Hello  world", 8), (None, "x" * 5000, 9)], "doc_id long, text string, IDS_ int")
     own = spark.sparkContext.broadcast(OWN)

@@ -25,7 +25,8 @@ _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 #: Pre-tokens handled together; bounds a task's memory.
 TOKENS_AT_ONCE = 1_000_000
-CACHE = 100_000
+#: Merged pre-tokens a generation of the cache holds; there are two, of about 200 bytes an entry.
+CACHE = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -84,6 +85,24 @@ class PerfectHash:
         return self.slot_key[np.where(d < 0, -d - 1, self._place(h, d))]
 
 
+class Cache:
+    """Values by key in two generations. When the young one is full it takes the old one's place, whose keys are
+    forgotten unless they were asked for meanwhile; so frequent keys stay, however many rare ones pass by."""
+
+    def __init__(self, size: int = CACHE):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: bytes) -> bytes | None:
+        if (value := self.young.get(key)) is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: bytes, value: bytes) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class Bpe:
     """Tables for encoding and decoding; small enough to broadcast."""
 
@@ -98,10 +117,12 @@ class Bpe:
         self.starts = np.zeros(size, dtype=np.int64)
         self.starts[self.ids] = np.concatenate([[0], np.cumsum([len(k) for k in self.keys])[:-1]])
         self.bytes = np.frombuffer(b"".join(self.keys), dtype=np.uint8)
-        self.cache: dict[bytes, list[int]] = {}
+        # ids as they are written: four bytes each
+        self.raw = [i.tobytes() for i in self.ids.astype("<u4")]
+        self.cache = Cache()
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}, "_find": None}
+        return {**self.__dict__, "cache": Cache(), "_find": None}
 
     def merge(self, piece: bytes) -> list[int]:
         """Repeatedly join the adjacent pair of lowest rank, leftmost first."""
@@ -155,16 +176,14 @@ class Bpe:
         lists = []
         for w, k in zip(words, found.tolist()):
             if self.keys[k] == w:
-                lists.append((self.ids[k],))
+                lists.append(self.raw[k])
                 continue
             if (own := self.cache.get(w)) is None:
-                own = self.merge(w)
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[w] = own
+                own = np.array(self.merge(w), dtype="<u4").tobytes()
+                self.cache.put(w, own)
             lists.append(own)
-        lens = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter((i for own in lists for i in own), dtype=np.uint32, count=int(lens.sum()))
+        lens = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)) // 4
+        flat = np.frombuffer(b"".join(lists), dtype="<u4").astype(np.uint32, copy=False)
         starts = np.cumsum(lens) - lens
         per = lens[codes]
         ids = flat[gather(starts[codes], per)]
