@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import bpe, mixing, toxicity
+from tickloom.llm import bpe, common, mixing, toxicity
 from tickloom.llm.jaccard_join import Join
 
 from test_jaccard_join import brute
@@ -165,3 +166,22 @@ def test_extra_columns_of_any_name_come_through(spark, small):
         rows = out.collect()
         assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain.collect()) and rows, name
         assert all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in names) and all(r.word == [r.doc_id] for r in rows), name
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    """Steps of a stage that write their results do not pile up the shuffles behind them."""
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size())} - {""}
+
+    before, setting = shuffles(), spark.conf.get(common.DROP_SHUFFLES)
+    rows = spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    kept = common.stored(rows, "steps")
+    assert {r["k"]: r["count"] for r in kept.collect()} == {k: len(range(k, 5000, 7)) for k in range(7)}
+    for _ in range(50):
+        if not (left := {f for f in shuffles() - before if f.startswith("shuffle_")}):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(common.DROP_SHUFFLES) == setting
+    # what was stored can be computed again from where it came
+    assert rows.count() == 7 and rows.count() == 7

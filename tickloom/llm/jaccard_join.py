@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import attach, carrying, components, gather, row_key, slices, stored
+from tickloom.llm.common import HOT_SHARE, attach, carrying, components, gather, row_key, slices, stored
 
 GROUPS = 128
 #: Bytes of a group's sets and points that a task holds as one block.
@@ -153,37 +153,45 @@ def leaf_keys(s: np.ndarray, leaves: Leaves) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, join: Join) -> DataFrame:
-    """Per document: doc_id, n_shingles, digest and node (null without shingles), point, leaves, text_key (a hash of the
+    """Per document: doc_id, n_shingles, digest and node (null without shingles), point, text_key (a hash of the
     text that tells rows of one id apart), and _row if ``docs`` has it.
-
-    Leaves are given once for each set that a task meets, so copies, however many, fill no leaf.
     """
     def run(batches):
-        leaves, seen = Leaves(join), set()
-
-        def once(s, node):
-            if node in seen:
-                return None
-            seen.add(node)
-            return leaf_keys(s, leaves)
-
         for b in slices(batches, 1):
             sets = shingle_sets(b.column(1).cast(pa.binary()).to_pylist(), join.words)
-            full = [len(s) > 0 for s in sets]
-            nodes = [_node(_digest(s)) if f else None for s, f in zip(sets, full)]
+            digests = [_digest(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([_digest(s) if f else None for s, f in zip(sets, full)], pa.binary()),
-                pa.array(nodes, pa.int64()),
-                pa.array([point(s).astype("<i4").tobytes() if f else None for s, f in zip(sets, full)], pa.binary()),
-                pa.array([once(s, k) if k is not None else None for s, k in zip(sets, nodes)], pa.list_(pa.int64())),
+                pa.array(digests, pa.binary()),
+                pa.array([d if d is None else _node(d) for d in digests], pa.int64()),
+                pa.array([point(s).astype("<i4").tobytes() if len(s) else None for s in sets], pa.binary()),
                 *b.columns[2:],
-            ], names=["doc_id", "n_shingles", "digest", "node", "point", "leaves", *more])
+            ], names=["doc_id", "n_shingles", "digest", "node", "point", *more])
 
     more = ["text_key", *(c for c in ("_row",) if c in docs.columns)]
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text", *more)
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, node long, point binary, leaves array<long>, text_key long" + ", _row binary" * (len(more) - 1))
+    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, node long, point binary, text_key long" + ", _row binary" * (len(more) - 1))
+
+
+def leaf_rows(docs: DataFrame, join: Join) -> DataFrame:
+    """(node, leaf) of all sets, for the shuffle by leaf. Texts are split once more for it: stored, the leaves would be
+    as large as the texts. They are given once for each set that a task meets, so copies, however many, fill no leaf.
+    """
+    def run(batches):
+        leaves, seen = Leaves(join), set()
+        for b in slices(batches, 0):
+            nodes, keys = [], []
+            for s in shingle_sets(b.column(0).cast(pa.binary()).to_pylist(), join.words):
+                if len(s) and (node := _node(_digest(s))) not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    keys.append(leaf_keys(s, leaves))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])), pa.array(np.concatenate(keys))], names=["node", "leaf"])
+
+    return docs.select("text").mapInArrow(run, "node long, leaf long")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, join: Join) -> DataFrame:
@@ -217,13 +225,16 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _with_sets(uses: DataFrame, sets: DataFrame) -> DataFrame:
-    """``uses`` (node, ...) with each node's set. A node of many uses is dealt over chunks of about PER_SET, each of which
-    its set goes to once, so neither its uses nor its set meet in one task and no set is broadcast."""
+    """``uses`` (node, ...) with each node's set; both are shuffled once. Nodes of more than HOT_SHARE of all uses, which are
+    at most 1 / HOT_SHARE, are dealt over chunks of about PER_SET uses, each of which their set goes to once. Only the
+    counts of these nodes are broadcast, no set is."""
     counts = stored(uses.groupBy("node").agg(F.count("*").alias("uses")), "uses")
-    chunks = F.ceil(F.col("uses") / F.lit(PER_SET)).cast("int")
-    left = attach(uses, counts, "node", "uses").withColumn("chunk", F.pmod(F.xxhash64(*uses.columns), chunks).cast("int")).drop("uses")
-    right = sets.join(counts, "node").select("node", "set", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
-    return left.join(right, ["node", "chunk"]).drop("chunk")
+    total = counts.agg(F.sum("uses")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("uses") > max(PER_SET, int(total * HOT_SHARE))).select("node", F.ceil(F.col("uses") / F.lit(PER_SET)).cast("int").alias("chunks")))
+    chunks = F.coalesce("chunks", F.lit(1))
+    left = uses.join(hot, "node", "left").withColumn("chunk", F.pmod(F.xxhash64(*uses.columns), chunks).cast("int")).drop("chunks")
+    right = sets.join(hot, "node", "left").select("node", "set", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    return left.join(right.hint("merge"), ["node", "chunk"]).drop("chunk")
 
 
 def verified(sets: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
@@ -262,14 +273,14 @@ def link_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     rows = all_docs.where("node IS NOT NULL")
     # one document lends each class its text
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "digest", "text_key")).alias("x")).select("node", "x.*"), "nodes")
-    leaves = rows.select("node", F.explode("leaves").alias("leaf"))
+    leaves = leaf_rows(docs, join)
     leaf = Window.partitionBy("leaf")
     shared = stored(leaves.withColumns({"least": F.min("node").over(leaf), "most": F.max("node").over(leaf)})
                     .where("least <> most").select("leaf", "node").distinct(), "leaves")
     weights = shared.groupBy("node").agg(F.count("*").alias("met"))
     points = rows.select("node", "n_shingles", "point").dropDuplicates(["node"]).join(weights, "node").select("node", "n_shingles", "point", "met")
     points = stored(points, "points")
-    # the only place that reads texts again: sets of the classes that share a leaf, once each
+    # sets of the classes that share a leaf, once each
     sets = stored(_sets(docs, points.select("node").join(nodes, "node"), join), "sets")
 
     # the member that meets most others is the likeliest to be linked with many
