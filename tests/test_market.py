@@ -137,3 +137,31 @@ def test_ranks_follow_the_sql_form_to_the_last_bit(spark):
     want = con.execute("""WITH q AS (SELECT dt, quantile_cont(cap, [x/100e0 for x in range(100)]) AS lv FROM c GROUP BY dt)
 SELECT code, dt, len(list_filter(lv, lambda y: y < cap))/100e0 FROM c JOIN q USING (dt)""").fetchall()
     assert got == {(code, day): rank for code, day, rank in want}
+
+
+def test_overlaps_read_a_search_once(spark):
+    """Removing overlaps reads its trades several times; the search behind them runs for one of these only."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = [("a", D(f"2020-01-{i:02}"), D(f"2020-01-{i + 3:02}")) for i in range(1, 25)]
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    trades = spark.createDataFrame(rows, "code string, dt date, exit_dt date").mapInArrow(counted, "code string, dt date, exit_dt date")
+    kept = exits.without_overlap(trades).orderBy("dt").collect()
+    assert [r.dt.day for r in kept] == [1, 5, 9, 13, 17, 21]
+    assert seen.value == len(rows)
+
+
+def test_exits_store_only_what_the_search_reads(spark, monkeypatch):
+    """Factors stay behind, also those that the closing rule reads; the opening price before adjustment comes along."""
+    stored, columns = exits.stored, []
+    monkeypatch.setattr(exits, "stored", lambda df, tag: columns.append((tag, df.columns)) or stored(df, tag))
+    rows = [("a", D(f"2020-01-{i:02}"), 10.0, 10.2, 9.9, 10.0, 9.0, float(i), 1.0) for i in range(1, 9)]
+    bars = spark.createDataFrame(rows, "code string, dt date, open double, high double, low double, close double, orig_open double, sma double, other double")
+    signals = bars.where("dt = '2020-01-02'").select("code", "dt", F.col("close").alias("order_price"))
+    got = exits.entry_exit(signals, bars, 50.0, 50.0, close=F.col("sma") >= 6).collect()
+    assert [(r.exit_dt, r.exit_price, r.action, r.exit_orig_open) for r in got] == [(D("2020-01-06"), 10.0, "CLOSE", 9.0)]
+    assert set(dict(columns)["bars"]) == {"code", "dt", "pos", "open", "high", "low", "close", "orig_open", "close_signal"}

@@ -136,8 +136,8 @@ class Strategy:
         """
         entries = stored(self.signals(table, blacklist=blacklist), "signals")
         sized = self.size(entries, cash, lot, seed, fees, budgets)
-        found = stored(self.trades(table, sized, seed), "trades")
-        sized = found if overlap else stored(exits.without_overlap(found), "kept")
+        found = self.trades(table, sized, seed)
+        sized = stored(found if overlap else exits.without_overlap(found), "kept")
         curve = portfolio.equity_curve(
             sized, table, calendar, cash, fees.commission_pct, fees.min_commission, fees.stamp_duty_pct
         )
