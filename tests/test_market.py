@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import rules
 from tickloom.functions import scalar as S
 from tickloom.operators import adjust, exits, filters, metrics, portfolio
-from tickloom.plans import sweep
+from tickloom.plans import strategy, sweep
 
 D = dt.date.fromisoformat
 BARS = [
@@ -165,3 +165,20 @@ def test_exits_store_only_what_the_search_reads(spark, monkeypatch):
     got = exits.entry_exit(signals, bars, 50.0, 50.0, close=F.col("sma") >= 6).collect()
     assert [(r.exit_dt, r.exit_price, r.action, r.exit_orig_open) for r in got] == [(D("2020-01-06"), 10.0, "CLOSE", 9.0)]
     assert set(dict(columns)["bars"]) == {"code", "dt", "pos", "open", "high", "low", "close", "orig_open", "close_signal"}
+
+
+def test_factor_table_numbers_bars_once(spark, monkeypatch):
+    """Bars keep the numbers that their adjustment gave them; codes with impossible moves go."""
+    kept, columns = strategy.stored, {}
+    monkeypatch.setattr(strategy, "stored", lambda df, tag: columns.setdefault(tag, df.columns) and kept(df, tag))
+    close = lambda c, i: 10.0 + i % 3 / 10 + (9.0 if c == "b" and i == 20 else 0.0)
+    rows = [(c, D("2020-12-20") + dt.timedelta(days=i), *[close(c, i)] * 4, 100.0) for c in "abc" for i in range(30)]
+    bars = spark.createDataFrame(rows, "code string, dt date, open double, high double, low double, close double, vol double")
+    adjusting = spark.createDataFrame([(c, D("2019-01-01"), 1.5) for c in "abc"], "code string, valid_from date, factor double")
+    plan = strategy.Strategy("few", ("sma5", "ema10"), lambda p: F.lit(True))
+    got = plan.factor_table(bars, adjusting)
+    plain = strategy.with_factors(filters.drop_suspect_codes(adjust.adjust_prices(bars, adjusting)), plan.factors, keep_pos=True)
+    plain = filters.drop_incomplete(plain, list(plan.factors))
+    assert got.columns == plain.columns and sorted(got.collect()) == sorted(plain.collect())
+    assert {r.code for r in got.collect()} == {"a", "c"} and got.agg(F.max("pos")).first()[0] == 29
+    assert "pos" in columns["adjusted"]

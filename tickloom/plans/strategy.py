@@ -11,7 +11,7 @@ from tickloom.functions import codes as C, scalar as S
 from tickloom.operators import exits, filters, metrics, portfolio, rule_exits
 from tickloom.operators.adjust import adjust_prices
 from tickloom.operators.factors import BUILTIN, FactorBook, notna_columns, with_factors
-from tickloom.operators.series import CODE, DT
+from tickloom.operators.series import CODE, DT, POS
 from tickloom.session import stored
 
 Hook = Callable[[DataFrame], DataFrame]
@@ -90,8 +90,9 @@ class Strategy:
         """Universe → adjusted prices → codes with impossible moves dropped → factors → rows complete."""
         rows = self.pre_process(bars) if self.pre_process else bars
         if adjust is not None and "orig_open" not in rows.columns:
-            # read twice by the next step, so stored once
-            rows = filters.drop_suspect_codes(stored(adjust_prices(rows, adjust, unit=self.unit), "adjusted"), max_abs_pct)
+            # read twice by the next step, so stored once; codes are dropped whole, so bar numbers stay right for the factors
+            rows = stored(adjust_prices(rows, adjust, unit=self.unit, keep_pos=True), "adjusted")
+            rows = filters.drop_suspect_codes(rows, max_abs_pct).select(*[c for c in rows.columns if c != POS], POS)
         rows = with_factors(rows, self.factors, self.book, unit=self.unit, keep_pos=True)
         rows = filters.drop_incomplete(rows, notna_columns(self.factors, self.book))
         return stored(self.post_process(rows) if self.post_process else rows, "factors")
