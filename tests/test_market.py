@@ -182,3 +182,35 @@ def test_factor_table_numbers_bars_once(spark, monkeypatch):
     assert got.columns == plain.columns and sorted(got.collect()) == sorted(plain.collect())
     assert {r.code for r in got.collect()} == {"a", "c"} and got.agg(F.max("pos")).first()[0] == 29
     assert "pos" in columns["adjusted"]
+
+
+def test_backtest_reads_the_bars_of_codes_that_trade(spark, small, monkeypatch):
+    from tickloom.plans import strategy
+    from tickloom.workload.trades import rebound
+    from tickloom.workload.views import Views
+
+    v, plan = Views(spark, small), rebound(ranges=0.0, trend=0.9)
+    table, read = plan.factor_table(v.bars, v.factors), []
+    marks = portfolio.equity_curve
+    monkeypatch.setattr(portfolio, "equity_curve", lambda trades, bars, *rest: read.append(bars) or marks(trades, bars, *rest))
+    black = table.where(F.col("code") % 2 == 0).select("code", F.lit(None).cast("date").alias("until")).distinct()
+    cash = 200_000_000.0
+    few = plan.backtest(table, v.calendar, cash, blacklist=black, overlap=True)
+    traded = {r.code for r in few["trades"].select("code").distinct().collect()}
+    assert traded and all(code % 2 for code in traded)
+    assert {r.code for r in read[0].select("code").distinct().collect()} == traded
+    assert read[0].count() == table.where(F.col("code").isin(list(traded))).count()
+    monkeypatch.setattr(strategy, "FEW_CODES", 0)
+    all_ = plan.backtest(table, v.calendar, cash, blacklist=black, overlap=True)
+    assert read[1].count() == table.count()
+    for part in ("trades", "capitals"):
+        assert sorted(map(repr, few[part].drop("free_cash_amount").collect())) == sorted(map(repr, all_[part].drop("free_cash_amount").collect()))
+
+
+def test_adjustment_looks_its_factors_up_once(spark, small):
+    from tickloom.operators.adjust import adjust_prices
+    from tickloom.workload.views import Views
+
+    v = Views(spark, small)
+    plan = adjust_prices(v.bars, v.factors)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan and "valid_from" not in plan

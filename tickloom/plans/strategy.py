@@ -17,6 +17,9 @@ from tickloom.session import stored
 Hook = Callable[[DataFrame], DataFrame]
 Evaluator = Callable[[DataFrame, DataFrame], DataFrame]
 
+#: Codes of trades that are looked up by a copy in every task.
+FEW_CODES = 1_000_000
+
 
 @dataclass(frozen=True)
 class Fees:
@@ -136,14 +139,23 @@ class Strategy:
         overlaps are removed, so they block no later entry.
         """
         entries = stored(self.signals(table, blacklist=blacklist), "signals")
-        sized = self.size(entries, cash, lot, seed, fees, budgets)
-        found = self.trades(table, sized, seed)
+        sized = stored(self.size(entries, cash, lot, seed, fees, budgets), "sized")
+        traded = self.bars_of(table, sized)
+        found = self.trades(traded, sized, seed)
         sized = stored(found if overlap else exits.without_overlap(found), "kept")
         curve = portfolio.equity_curve(
-            sized, table, calendar, cash, fees.commission_pct, fees.min_commission, fees.stamp_duty_pct
+            sized, traded, calendar, cash, fees.commission_pct, fees.min_commission, fees.stamp_duty_pct
         )
         return {"trades": sized, "log": portfolio.trade_log(sized), "capitals": curve}
 
+    @staticmethod
+    def bars_of(table: DataFrame, trades: DataFrame) -> DataFrame:
+        """The rows of the codes that trade: exits and marks read no others, and days take few signals of many codes.
+
+        With more than ``FEW_CODES`` of them, which are too many to send to every task, the table stays as it is."""
+        codes = stored(trades.select(CODE).distinct(), "codes")
+        return table.join(F.broadcast(codes), CODE, "left_semi") if codes.count() <= FEW_CODES else table
+
     def size(self, signals: DataFrame, cash: float, lot: int, seed: int = 0, fees: Fees = Fees(), budgets: DataFrame | None = None) -> DataFrame:
         if budgets is None:
             days = signals.select(DT).distinct()
