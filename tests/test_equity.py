@@ -88,3 +88,40 @@ def test_carried_prices_sort_only_the_bars(spark):
             last = prices.get(i) if prices.get(i) is not None else last
             want[code, day(i)] = last
     assert got == want and out.count() == len(want)
+
+
+def looked_up(left, right, direction, exact):
+    """The record of each (code, time) by trying all."""
+    got = []
+    for code, at in left:
+        ahead = lambda t: at is not None and (t < at if direction == "backward" else t > at)
+        fits = [(t, x) for c, t, x in right if c == code and t is not None and (ahead(t) or (exact and t == at))]
+        nearest = (max if direction == "backward" else min)((t for t, _ in fits), default=None)
+        got.append((code, at, max((x for t, x in fits if t == nearest), default=None)))
+    return sorted(got, key=repr)
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_lookups_scan_once_and_find_the_nearest_record(spark, direction):
+    from tickloom.operators.asof import asof_join
+
+    rnd = random.Random(7)
+    left = [(rnd.randrange(5), day(rnd.randrange(1500))) for _ in range(400)] + [(1, None), (2, None)]
+    right = [(rnd.randrange(4), day(rnd.randrange(0, 1500, 5)), rnd.randrange(100)) for _ in range(300)] + [(1, None, 5)]
+    rows, records = spark.createDataFrame(left, "code long, dt date"), spark.createDataFrame(right, "code long, at date, x long")
+    for exact in (True, False):
+        for unit in ("year", "month", "day"):
+            found = asof_join(rows, records, ["x"], right_on="at", direction=direction, allow_exact=exact, unit=unit)
+            assert sorted(map(tuple, found.collect()), key=repr) == looked_up(left, right, direction, exact)
+    two = asof_join(rows, records.withColumn("y", -records.x), ["x", "y"], right_on="at", direction=direction)
+    assert all(r.y is None if r.x is None else r.y == -r.x for r in two.collect())
+    assert sorted((tuple(r)[:3] for r in two.collect()), key=repr) == looked_up(left, right, direction, True)
+    # a frame to the end of its partition is read again for every row
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+
+
+def test_the_stored_table_keeps_its_bar_numbers(spark, small):
+    from tickloom.workload.trades import _table
+    from tickloom.workload.views import Views
+
+    assert "pos" in _table(Views(spark, small)).columns
