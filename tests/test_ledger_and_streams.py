@@ -78,6 +78,23 @@ def test_streamed_rows_are_written_where_they_are(spark, small):
     assert sorted(sizes) == [(8, 500), (8, 500)]
 
 
+def test_account_state_streams_as_many_files_as_its_orders_have_parts(spark, small, tmp_path):
+    from pathlib import Path
+
+    from tickloom.session import shared_dir
+    from tickloom.workload import QUERIES
+
+    for name, parts in (("orders", 8), ("customer", 1)):
+        spark.read.parquet(f"{small}/{name}.parquet").repartition(parts).write.parquet(str(tmp_path / f"{name}.parquet"))
+    streams = lambda: set(Path(shared_dir(spark)).glob("account-orders-*"))
+    old = streams()
+    got = QUERIES["account_state"](spark, str(tmp_path)).collect()
+    (made,) = streams() - old
+    # each part is seen pending first, then as it is; before, two files held all rows, one task's work each
+    assert len(list(made.glob("part-*"))) == 16
+    assert len(got) > 0 and sorted(got) == sorted(QUERIES["account_state"](spark, small).collect())
+
+
 def test_missing_order_state_fails(spark):
     batch = orders_of(spark, order("a", 5, 10))
     held = spark.createDataFrame([("P", "c", 10.0, 100, 10.0)], "id string, code string, price double, yesterday_vol long, latest_price double")
