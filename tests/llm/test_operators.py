@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,64 @@ def test_conversations(spark):
     assert got[None].loss_chars == 1 and got[2].loss_chars == 0
 
 
+def own_steps(spark, monkeypatch):
+    """What a task of ``format_conversations`` and one of ``read_back`` run on their Arrow batches."""
+    import public_tokenizers
+
+    rows, steps = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string"), []
+    whole = type(rows).mapInArrow
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "mapInArrow", lambda df, run, schema: steps.append((run, df.columns)) or whole(df, run, schema))
+        chat.read_back(chat.format_conversations(rows, open(public_tokenizers.path("byte_bpe_50k.json")).read()))
+    return steps
+
+
+def test_memory_of_conversations_does_not_follow_the_rows_of_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BATCH", 1 << 16, raising=False)
+    (make, _), (read, columns) = own_steps(spark, monkeypatch)
+    texts = [f"{word} " * 80 for word in ("naïve", "ok then", "1 2", "what")]
+    roles = ["user", "assistant"] * 2
+
+    def peak(run, batch):
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    few, many = (pa.RecordBatch.from_pydict({"conv_id": list(range(n)), "roles": [roles] * n, "texts": [texts] * n}) for n in (100, 800))
+    assert sum(made.num_rows for made in make(iter([many]))) == 800
+    assert peak(make, many) < 2 * peak(make, few)
+    made = pa.Table.from_batches(make(iter([many]))).select(columns).combine_chunks().to_batches()
+    assert len(made) == 1 and peak(read, made[0]) < 1000 * many.num_rows  # of its digests
+
+
+def test_long_conversation_is_encoded_as_a_whole(spark, monkeypatch):
+    import public_tokenizers
+
+    (make, _), (read, columns) = own_steps(spark, monkeypatch)
+    texts = ["naïve 🤖\n x", "", "  <|text|> ", "it's 12 \n\n", "日本", "</s>[INST] ok "] * 1500
+    roles = (["assistant", "user", "assistant"] * 3000)[: len(texts)]
+    made = pa.Table.from_batches(make(iter([pa.RecordBatch.from_pydict({"conv_id": [7], "roles": [roles], "texts": [texts]})])))
+    formatted, spans = chat.render(list(zip(roles, texts)))
+    row, want = made.to_pylist()[0], chat.tokenizer(open(public_tokenizers.path("byte_bpe_50k.json")).read()).encode(formatted, add_special_tokens=False)
+    assert len(formatted) > 2 * chat.PIECE and row["formatted"] == formatted and row["ids"] == want.ids
+    assert list(zip(row["token_starts"], row["token_ends"])) == want.offsets
+    span_of = [0] * len(formatted)
+    for k, (a, z) in enumerate(spans, 1):
+        span_of[a:z] = [k] * (z - a)
+    assert row["loss"] == [int(span_of[x] > 0 and span_of[y - 1] == span_of[x]) for x, y in want.offsets]
+    back = pa.Table.from_batches(read(iter(made.select(columns).combine_chunks().to_batches()))).to_pylist()[0]
+    assert back["loss_sha256"] == hashlib.sha256("".join(t for r, t in zip(roles, texts) if r == "assistant").encode()).hexdigest()
+    assert (back["n_turns"], back["n_tokens"], back["n_loss_tokens"]) == (len(texts), len(want.ids), sum(row["loss"]))
+
+
+@pytest.mark.parametrize("tokens, loss, want", [([], [], ""), ([(0, 2), (2, 4)], [0, 0], ""), ([(0, 0), (0, 1)], [1, 1], "a"), ([(0, 1), (1, 2), (1, 2), (2, 4), (6, 8)], [1, 1, 1, 0, 1], "abgh"), ([(1, 2), (1, 3), (2, 3), (5, 6)], [1, 1, 1, 1], "bcf")])
+def test_text_under_a_mask(tokens, loss, want):
+    assert chat.masked_text("abcdefgh", tokens, loss) == want
+
+
 # -- pages -----------------------------------------------------------------------------------------------------------
 
 
