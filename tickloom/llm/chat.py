@@ -32,7 +32,7 @@ CONTROLS = [TURN, TEXT, END, "<|endoftext|>", "<|im_start|>", "<|im_end|>", "<s>
 
 #: Characters encoded together, and those that a batch of formatted conversations has when it is passed on; a longer turn
 #: or conversation goes alone. They bound a task's memory, however many conversations Spark puts in a batch.
-PIECE, BATCH = 1 << 16, 1 << 20
+PIECE, BATCH = 1 << 16, 1 << 18
 
 _ANY = "|".join(f"(?<={re.escape(c[0])})(?=\\\\*{re.escape(c[1:])})" for c in CONTROLS)
 _FIRST = sorted({c[0] for c in CONTROLS})
@@ -142,6 +142,7 @@ def format_conversations(rows: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         t = tokenizer(shared.value)
+        release()  # what reading the vocabulary took
         for b in batches:
             made, held = [], 0
             for i in range(b.num_rows):
